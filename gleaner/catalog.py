@@ -1,13 +1,694 @@
-"""All queries of the library by name, and SQL for DuckDB that gives the same results."""
+"""All queries of the library by name, and SQL for DuckDB that gives the same results.
+
+Documents stand for articles: article_path is doc_ and the id, the section is Introduction, and lines
+are paragraphs.  A vector belongs to the document of its id.  Each query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gleaner.config import Config
+from gleaner.functions import identity
+from gleaner.functions import text as t
+from gleaner.functions.dates import normalize_date
+from gleaner.operators import chunk, conversation, dense, discovery, expand, fusion, lexical, metrics, rank, reader, select, timeline
+from gleaner.plans import interpret, pipeline
+from gleaner.sources import archive, html, store
+from gleaner.sources.archive import read_table as read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "rrf_hybrid"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: Searches take the rows whose id is divisible by this as queries, against all rows.
+EVERY = 100
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 8) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+# --- tables in the engine's terms -------------------------------------------------------------
+
+
+def doc_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as index rows: the source is the title, the language the section."""
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.col("lang").alias("section"), F.col("text").alias("body"))
+
+
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+
+
+def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).filter(F.col("chunk_id") % EVERY == 0).withColumnRenamed("chunk_id", "query_id")
+
+
+def article_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("article_path"), chunk.paragraphs("text").alias("blocks"))
+    return chunk.chunk_articles(docs)
+
+
+def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """One chunk for each document."""
+    return read(spark, sf, "documents").select(
+        F.concat(F.lit("doc_"), "doc_id").alias("article_path"), F.concat(F.lit("doc_"), "doc_id", F.lit("_000")).alias("chunk_id"),
+        F.lit("Introduction").alias("section"), F.lit(None).cast("string").alias("subsection"), "text",
+    )
+
+
+def passage_plans(spark: SparkSession, sf: str) -> DataFrame:
+    return interpret.plans(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")))
+
+
+def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).withColumn("chunk_id", F.concat(F.lit("doc_"), "chunk_id", F.lit("_000")))
+
+
+def passage_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.bm25(passages(spark, sf), doc_index(spark, sf), 40)
+
+
+def gold(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a benchmark passage word for word: candidates share the passage's first 60 characters as a line's begin or not at all."""
+    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
+    # The passages are few and of fixed number, so they go to every partition of the documents.
+    return docs.join(F.broadcast(items), F.contains("body", "text")).select("query_id", "chunk_id")
+
+
+# --- retrieval ----------------------------------------------------------------------------------
+
+
+@query
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(passage_hits(spark, sf), "score")
+
+
+@query
+def bm25_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics by pool: each passage searches the documents of one language."""
+    langs = F.array(*map(F.lit, ("de", "en", "es", "fr")))
+    asked = passages(spark, sf).withColumn("lang", F.get(langs, (F.col("query_id") % 4).cast("int")))
+    docs = doc_index(spark, sf)
+    pool = docs.join(F.broadcast(asked.select("query_id", F.col("lang").alias("section"))), "section")
+    return rounded(lexical.bm25(asked.select("query_id", "query"), pool, 10, scope="pool"), "score")
+
+
+@query
+def lexical_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = doc_chunks(spark, sf)
+    named = chunks.withColumn("candidate_id", identity.candidate_id(chunks, "corpus-1", "chunker-1"))
+    return lexical.manifest(named, "corpus-1", "chunker-1")
+
+
+@query
+def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(dense.cosine_topk(vector_queries(spark, sf), vectors(spark, sf), 40), "score")
+
+
+def _intent_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """For each query vector the next vector as its second reading."""
+    return vectors(spark, sf).filter(F.col("chunk_id") % EVERY == 1).select((F.col("chunk_id") - 1).alias("query_id"), "vector")
+
+
+@query
+def cosine_blend(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = vectors(spark, sf)
+    base = dense.cosine_topk(vector_queries(spark, sf), corpus, 40)
+    intent = dense.cosine_topk(_intent_queries(spark, sf), corpus, 40)
+    return rounded(dense.blend(base, intent).select("query_id", "chunk_id", "score"), "score")
+
+
+@query
+def cosine_max_consolidated(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = vectors(spark, sf)
+    both = dense.cosine_topk(vector_queries(spark, sf), corpus, 40).unionByName(dense.cosine_topk(_intent_queries(spark, sf), corpus, 40))
+    return rounded(dense.consolidate(both), "score")
+
+
+def _branches(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with an id divisible by 100 and a vector as queries, against all."""
+    asked = read(spark, sf, "documents").filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    asked = asked.join(vector_queries(spark, sf).select("query_id"), "query_id", "left_semi")
+    words = lexical.bm25(asked, doc_index(spark, sf), 40).select("query_id", F.lit("bm25").alias("branch"), F.col("chunk_id").alias("candidate_id"), "score")
+    near = dense.cosine_topk(vector_queries(spark, sf), vectors(spark, sf), 40)
+    return words.unionByName(near.select("query_id", F.lit("dense").alias("branch"), F.col("chunk_id").alias("candidate_id"), "score"))
+
+
+@query
+def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    fused = fusion.rrf(_branches(spark, sf), pipeline.DIRECTIONS)
+    return rounded(fused.select("query_id", "candidate_id", "fused_score", "fused_rank", "best_rank", F.array_join("origins", ",").alias("origins")), "fused_score")
+
+
+@query
+def rrf_single_branch(spark: SparkSession, sf: str) -> DataFrame:
+    rows = passage_hits(spark, sf).select("query_id", F.lit("bm25").alias("branch"), F.col("chunk_id").alias("candidate_id"), "score")
+    return rounded(fusion.rrf(rows, {"bm25": "lower"}, output_limit=20).select("query_id", "candidate_id", "fused_score", "fused_rank"), "fused_score")
+
+
+@query
+def dense_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Fused rows that only BM25 found, with their dense score in the whole pool where there is one."""
+    fused = fusion.rrf(_branches(spark, sf), pipeline.DIRECTIONS)
+    q, c = vector_queries(spark, sf), vectors(spark, sf)
+    wanted = fused.filter(~F.array_contains("origins", "dense")).select("query_id", F.col("candidate_id").alias("chunk_id"))
+    pairs = wanted.join(q.withColumnRenamed("vector", "a"), "query_id").join(c.withColumnRenamed("vector", "b"), "chunk_id")
+    scored = pairs.select("query_id", "chunk_id", dense.cosine(F.col("a"), F.col("b")).alias("score"))
+    out = fusion.with_pool_scores(fused, scored).filter(~F.array_contains("origins", "dense"))
+    return rounded(out.select("query_id", "candidate_id", "fused_rank", "dense_pool_score"), "dense_pool_score")
+
+
+@query
+def embedding_cache_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without a cached vector: those whose id has none among the embeddings."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    have = docs.join(read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    cache = have.select(F.sha2(F.to_json(F.array(F.lit("model-1"), F.col("text"))), 256).alias("key")).distinct()
+    return dense.uncached(docs, cache, "model-1").select("doc_id")
+
+
+# --- features, ranking, expansion ------------------------------------------------------------------
+
+
+def _passage_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    hits = passage_hits(spark, sf).select("query_id", F.col("chunk_id").alias("doc_id"), (-F.col("score")).alias("score"), "rank")
+    docs = read(spark, sf, "documents")
+    return docs.join(hits, "doc_id").select(
+        "query_id", "doc_id", "rank", "score", F.concat(F.lit("doc_"), "doc_id").alias("chunk_id"), F.col("source").alias("article_path"),
+        F.col("lang").alias("section"), F.lit(None).cast("string").alias("subsection"), "text",
+    )
+
+
+@query
+def minmax_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = passage_hits(spark, sf).withColumn("semantic", rank.minmax("score", "query_id"))
+    return rounded(rows.select("query_id", "chunk_id", "semantic"), "semantic", places=6)
+
+
+@query
+def overlap_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _passage_candidates(spark, sf).join(F.broadcast(passages(spark, sf)), "query_id")
+    return rounded(
+        rows.select("query_id", "doc_id", t.overlap(t.words("query"), t.words("text")).alias("lexical"), t.density("text").alias("completeness"), t.estimate_tokens("text").alias("tokens")),
+        "lexical", "completeness",
+    )
+
+
+@query
+def rerank_deterministic(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = rank.rerank(_passage_candidates(spark, sf).withColumn("doc_score", F.col("score")), passage_plans(spark, sf))
+    return ranked.select("query_id", "chunk_id", "rerank_score", "rerank_rank", F.round("features.lexical", 8).alias("lexical"), F.round("features.title", 8).alias("title"))
+
+
+@query
+def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages through both branches, fusion and hybrid reranking; the passage's vector is that of the document with its id."""
+    queries = vectors(spark, sf).withColumnRenamed("chunk_id", "query_id").join(passages(spark, sf).select("query_id"), "query_id", "left_semi")
+    found = pipeline.retrieve(passage_plans(spark, sf), doc_chunks(spark, sf), queries, doc_vectors(spark, sf))
+    return found.select("query_id", "chunk_id", "rerank_score", "rerank_rank", "fused_rank", F.array_join("origins", ",").alias("origins"))
+
+
+@query
+def section_affinity(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _passage_candidates(spark, sf).join(F.broadcast(passages(spark, sf)), "query_id")
+    score = rank.section_affinity(F.lit("cause"), F.col("query"))
+    return rounded(rows.select("query_id", "doc_id", score.alias("affinity")), "affinity")
+
+
+@query
+def article_shortlist(spark: SparkSession, sf: str) -> DataFrame:
+    plans = passages(spark, sf).select("query_id", F.col("query").alias("resolved_question"), F.lit("general").alias("intent"))
+    return rounded(expand.article_shortlist(_passage_candidates(spark, sf), plans, Config()), "article_score", places=6)
+
+
+@query
+def section_caps(spark: SparkSession, sf: str) -> DataFrame:
+    plans = passages(spark, sf).select("query_id", F.col("query").alias("resolved_question"), F.lit("general").alias("intent"))
+    found = expand.expand_sections(_passage_candidates(spark, sf), plans, Config())
+    return rounded(found.select("query_id", "chunk_id", "article_path", "expansion_score"), "expansion_score", places=6)
+
+
+@query
+def comparison_leaders(spark: SparkSession, sf: str) -> DataFrame:
+    plans = passages(spark, sf).select("query_id", F.col("query").alias("resolved_question"), F.lit("comparison").alias("intent"))
+    found = expand.final_chunks(expand.expand_sections(_passage_candidates(spark, sf), plans, Config()), Config())
+    return found.select("query_id", "position", "chunk_id", "article_path")
+
+
+@query
+def timeline_pool(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = rank.rerank(_passage_candidates(spark, sf), passage_plans(spark, sf))
+    return expand.timeline_pool(ranked, Config(rerank_relevance_floor=0.1)).select("query_id", "position", "chunk_id")
+
+
+# --- texts ---------------------------------------------------------------------------------------
+
+
+@query
+def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", t.estimate_tokens("text").alias("tokens"))
+
+
+@query
+def text_words(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select(
+        "doc_id", F.size(t.words("text")).alias("n_words"), F.size(t.terms("text")).alias("n_terms"), F.size(t.index_tokens("text")).alias("n_tokens"),
+        F.md5(t.normalize_text("text")).alias("normalized_md5"), F.size(t.trigram_set("text")).alias("n_trigrams"),
+    )
+
+
+@query
+def text_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of page addresses and names."""
+    return read(spark, sf, "pages").select(
+        "page_id", t.title_key("url").alias("title_key"), t.normalize_entity("url").alias("entity_key"), t.export_name("url").alias("export_name"), t.single_line("url").alias("single_line")
+    )
+
+
+@query
+def preview_excerpt(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", t.preview_excerpt("text").alias("preview"))
+
+
+@query
+def sentence_trim(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", t.trim_sentence("text", 200, 500).alias("excerpt"))
+
+
+@query
+def trigram_redundancy(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document against the one with the next id."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    nexts = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return rounded(docs.join(nexts, "doc_id").select("doc_id", t.redundancy("text", "other").alias("redundancy")), "redundancy")
+
+
+@query
+def paragraph_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Within each source, lines of later documents that an earlier one has go."""
+    order = Window.partitionBy("source").orderBy("doc_id")
+    hits = read(spark, sf, "documents").select(
+        F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.row_number().over(order).alias("position"), "text"
+    )
+    return expand.deduplicate_paragraphs(hits, 1 << 30, separator="\n").select("query_id", "chunk_id", "position", F.md5("text").alias("text_md5"))
+
+
+@query
+def even_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten documents of each source, spread evenly."""
+    order = Window.partitionBy("source").orderBy("doc_id")
+    rows = read(spark, sf, "documents").select("source", "doc_id", (F.row_number().over(order) - 1).alias("chunk_no"))
+    return expand.sample_chunks(rows, 10, "source").select("source", "doc_id", "chunk_no")
+
+
+@query
+def pool_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """At most 480 chunks of each question, articles in the order of discovery."""
+    hits = passage_hits(spark, sf).select("query_id", F.concat(F.lit("doc_"), "chunk_id").alias("article_path"), F.col("rank").alias("article_position"))
+    pool = article_chunks(spark, sf).join(F.broadcast(hits), "article_path")
+    return expand.cap_pool(pool.select("query_id", "article_path", "article_position", "chunk_no", "chunk_id"), 480)
+
+
+@query
+def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return article_chunks(spark, sf).select("article_path", "chunk_no", "chunk_id", "section", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def candidate_identity(spark: SparkSession, sf: str) -> DataFrame:
+    return identity.adapt_hits(doc_chunks(spark, sf), "corpus-1", "chunker-1").select("chunk_id", "candidate_id", "canonical_article", "estimated_text_tokens")
+
+
+@query
+def embedding_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return doc_chunks(spark, sf).select("chunk_id", *[F.md5(t.embedding_text(v)).alias(v) for v in ("text", "section", "title")])
+
+
+# --- pages ---------------------------------------------------------------------------------------
+
+
+@query
+def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return html.page_rows(read(spark, sf, "pages"), html.blocks("html"), "page_id")
+
+
+@query
+def html_prose(spark: SparkSession, sf: str) -> DataFrame:
+    return html.page_rows(read(spark, sf, "pages"), html.blocks("html", "prose"), "page_id")
+
+
+@query
+def html_links(spark: SparkSession, sf: str) -> DataFrame:
+    return html.page_rows(read(spark, sf, "pages"), html.links("html"), "page_id")
+
+
+@query
+def html_headings(spark: SparkSession, sf: str) -> DataFrame:
+    return html.page_rows(read(spark, sf, "pages"), html.headings("html"), "page_id")
+
+
+@query
+def html_clean(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages").withColumn("path", F.concat(F.lit("page_"), "page_id"))
+    return html.clean_pages(pages).select("page_id", "clean_html")
+
+
+@query
+def html_tables(spark: SparkSession, sf: str) -> DataFrame:
+    spark.udtf.register("html_table_rows", html.table_rows_udtf())
+    pages = read(spark, sf, "pages")
+    # The star schema's regions as a page with a table, beside the pages.
+    rows = read(spark, sf, "region").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<tr><td>"), "r_regionkey", F.lit("<td>"), "r_name"))), "").alias("rows"))
+    table = rows.select(F.lit(-1).cast("bigint").alias("page_id"), F.concat(F.lit("<table><tr><th>Key<th>Name"), "rows", F.lit("</table>")).alias("html"))
+    pages.select("page_id", "html").unionByName(table).createOrReplaceTempView("pages_with_tables")
+    return spark.sql("SELECT page_id, t.* FROM pages_with_tables, LATERAL html_table_rows(html) t")
+
+
+@query
+def path_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "pages").select("page_id", html.valid_path_column("url").alias("whole"), html.valid_path_column(F.regexp_extract("url", r"^\w+://[^/]+/(.*)$", 1)).alias("inside"))
+
+
+@query
+def evidence_location(spark: SparkSession, sf: str) -> DataFrame:
+    """The first paragraph of each page, located in it."""
+    pages = read(spark, sf, "pages").select(F.concat(F.lit("page_"), "page_id").alias("path"), F.lit("text/html").alias("mimetype"), "html", "page_id")
+    first = html.page_rows(pages, html.blocks("html"), "page_id", "path").filter("type = 'p'").groupBy("page_id", "path").agg(F.min_by("text", "block_no").alias("supplied_text"))
+    sources = first.select(F.col("page_id").alias("source_id"), "path", F.lit("").alias("section"), F.lit("").alias("subsection"), "supplied_text")
+    return reader.evidence_status(sources, pages).select("source_id", "url", "evidence_status", "preview")
+
+
+@query
+def redirect_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a customer as a chain: each leads to the next, the last is the page."""
+    order = Window.partitionBy(F.floor(F.col("o_orderkey") / 64)).orderBy("o_orderkey")
+    rows = read(spark, sf, "orders").select("o_orderkey", F.lead("o_orderkey").over(order).alias("next"))
+    entries = rows.select(F.concat(F.lit("order_"), "o_orderkey").alias("path"), F.concat(F.lit("order_"), "next").alias("redirect_to"))
+    return archive.resolve_redirects(entries, hops=64).select("path", "target", F.col("hops").cast("long").alias("hops"))
+
+
+@query
+def title_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts by name: each nation's name, and each brand, among the parts' names."""
+    titles = read(spark, sf, "part").select(F.concat("p_name", F.lit("_"), F.col("p_partkey")).alias("path"))
+    asked = read(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query")).filter(F.col("query_id") % EVERY == 0)
+    return archive.search_titles(titles, asked, 5)
+
+
+# --- questions --------------------------------------------------------------------------------------
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+
+
+@query
+def intent_detection(spark: SparkSession, sf: str) -> DataFrame:
+    """Intent and follow-up of each user's turn, also with words of each intent before it."""
+    lead = F.get(F.array(*map(F.lit, ("", "Why did it end? ", "Compare A and B. ", "A timeline: ", "Who was X? ", "And "))), (F.col("query_id") % 6).cast("int"))
+    rows = _questions(spark, sf).withColumn("question", F.concat(lead, "question"))
+    return rows.select("query_id", interpret.intent("question").alias("intent"), interpret.is_follow_up("question").alias("follow_up"))
+
+
+@query
+def question_plans(spark: SparkSession, sf: str) -> DataFrame:
+    found = interpret.plans(_questions(spark, sf))
+    return found.select("query_id", "intent", "breadth", F.array_join("seed_queries", "|").alias("seeds"), F.size("entities").alias("entities"), "article_limit")
+
+
+@query
+def seed_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return interpret.seed_rows(interpret.plans(_questions(spark, sf)))
+
+
+@query
+def phrase_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles that a turn names: the first words of the documents are the titles."""
+    titles = read(spark, sf, "documents").select(F.regexp_extract("text", r"^(\S+)", 1).alias("path")).filter("path != ''").distinct()
+    return discovery.title_matches(_questions(spark, sf), titles)
+
+
+@query
+def link_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document links to those with the next three ids; the first line is the query."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    links = docs.withColumn("step", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select(
+        F.col("doc_id").alias("article_path"), (F.col("doc_id") + F.col("step")).cast("string").alias("href"), F.substring_index("text", " ", 2).alias("anchor"),
+        F.col("text").alias("context"), F.col("step").alias("position"),
+    )
+    asked = docs.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("article_path"), F.substring_index("text", "\n", 1).alias("query"))
+    found = discovery.related_articles(links, asked, 2)
+    return rounded(found.select("query_id", "href", "score", "rank"), "score")
+
+
+@query
+def discovery_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Full-text hits as seeds, later hits as related articles, merged within the plan's places."""
+    hits = passage_hits(spark, sf)
+    found = hits.select(
+        "query_id", F.when(F.col("rank") <= 10, 0).otherwise(1).alias("stage"), F.lit(0).alias("seed_no"), F.col("rank").alias("position"),
+        F.concat(F.lit("doc_"), "chunk_id").alias("article_path"), F.when(F.col("rank") <= 10, "question search").otherwise("related").alias("reason"),
+    )
+    merged = discovery.merge_sources(found, passage_plans(spark, sf))
+    return merged.select("query_id", "article_path", "position", F.array_join("reasons", ",").alias("reasons"))
+
+
+# --- selection ---------------------------------------------------------------------------------------
+
+
+@query
+def mmr_select(spark: SparkSession, sf: str) -> DataFrame:
+    return select.select_diverse(rank.rerank(_passage_candidates(spark, sf), passage_plans(spark, sf)))
+
+
+@query
+def pack_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = rank.rerank(_passage_candidates(spark, sf), passage_plans(spark, sf))
+    return select.pack_evidence(ranked.drop("subjects")).select("query_id", "chunk_id", "label", "reason", F.length("supplied_text").alias("chars"), "truncated")
+
+
+@query
+def context_pack(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _passage_candidates(spark, sf).withColumn("position", F.col("rank"))
+    return select.contexts(hits).select("query_id", F.md5("context").alias("context_md5"), "sources", "tokens")
+
+
+@query
+def ask_passages(spark: SparkSession, sf: str) -> DataFrame:
+    found = pipeline.ask(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), doc_chunks(spark, sf))
+    return found.select("query_id", "intent", "answer", F.size("sources").alias("sources"), F.array_join("unknown_labels", ",").alias("unknown_labels"), "has_citations", "skipped_generation")
+
+
+@query
+def inspector(spark: SparkSession, sf: str) -> DataFrame:
+    queries = vectors(spark, sf).withColumnRenamed("chunk_id", "query_id").join(passages(spark, sf).select("query_id"), "query_id", "left_semi")
+    ranked = pipeline.retrieve(passage_plans(spark, sf), doc_chunks(spark, sf), queries, doc_vectors(spark, sf))
+    packed = select.pack_evidence(ranked)
+    chosen, rejected = packed.filter("label is not null"), packed.filter("label is null")
+    return metrics.inspect(ranked, chosen, rejected).withColumn("origins", F.array_join("origins", ","))
+
+
+# --- dates -----------------------------------------------------------------------------------------------
+
+
+def _dated_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as dated records."""
+    date = F.date_format("o_orderdate", "d MMMM yyyy")
+    return read(spark, sf, "orders").select(
+        F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("order_id"), F.concat(F.lit("Date: "), date, F.lit("; Event: order "), F.col("o_orderkey").cast("string"), F.lit(" was signed.")).alias("text"),
+        "o_orderdate",
+    )
+
+
+@query
+def date_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return _dated_lines(spark, sf).select("order_id", normalize_date("text").alias("d")).select("order_id", "d.*")
+
+
+@query
+def extract_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders as a chronology of at most 24 events."""
+    order = Window.partitionBy("query_id").orderBy("order_id")
+    hits = _dated_lines(spark, sf).select(
+        "query_id", F.row_number().over(order).alias("position"), F.concat(F.lit("customer_"), "query_id").alias("article_path"), F.lit("Orders").alias("section"),
+        F.lit(None).cast("string").alias("subsection"), F.concat(F.lit("order_"), "order_id").alias("chunk_id"), "text", F.lit(0.5).alias("score"),
+    )
+    events = timeline.extract_events(hits)
+    return events.select("query_id", "event_no", "year", "month", "day", "precision", "approximate", "event", "chunk_id")
+
+
+@query
+def dated_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten of each customer's dated records, spread evenly."""
+    order = Window.partitionBy("query_id").orderBy("order_id")
+    hits = _dated_lines(spark, sf).select(
+        "query_id", F.row_number().over(order).alias("position"), F.lit("orders").alias("article_path"), F.lit("Orders").alias("section"), F.lit(None).cast("string").alias("subsection"),
+        F.lpad(F.col("order_id").cast("string"), 12, "0").alias("chunk_id"), "text", F.lit(0.5).alias("score"),
+    )
+    return timeline.dated_records(hits).select("query_id", "chunk_id")
+
+
+# --- evaluation --------------------------------------------------------------------------------------------
+
+
+@query
+def ir_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    hits = passage_hits(spark, sf).select("query_id", "chunk_id", "rank")
+    found = metrics.ir_metrics(passages(spark, sf), gold(spark, sf), hits)
+    return rounded(found, *[c for c in found.columns if "judged" not in c])
+
+
+@query
+def ir_metrics_by_query(spark: SparkSession, sf: str) -> DataFrame:
+    hits = passage_hits(spark, sf).select("query_id", "chunk_id", "rank")
+    found = metrics.per_query(passages(spark, sf), gold(spark, sf), hits)
+    return rounded(found, *[c for c in found.columns if c not in ("query_id", "judged")])
+
+
+def _facets(spark: SparkSession, sf: str) -> DataFrame:
+    """Each passage's sentences are the facets that should be found."""
+    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.split("text", r"\. ")).alias("facet", "span"))
+    return items.filter(F.length("span") > 0)
+
+
+@query
+def facet_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _passage_candidates(spark, sf).select("query_id", "rank", "text")
+    return rounded(metrics.facet_coverage(rows, _facets(spark, sf), upto=40), "coverage")
+
+
+@query
+def ndcg_partial(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _passage_candidates(spark, sf).select("query_id", "rank", "text")
+    return rounded(metrics.ndcg_partial(rows, _facets(spark, sf)), "dcg", "ideal", "ndcg", "mrr")
+
+
+@query
+def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
+    hits = passage_hits(spark, sf).select("query_id", "chunk_id", "rank")
+    each = metrics.per_query(passages(spark, sf), gold(spark, sf), hits).filter("judged")
+    found = metrics.summary(each, ["recall_5", "rr_5"])
+    return rounded(found, *found.columns)
+
+
+@query
+def repeated_trigram_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of a source in the order of their ids."""
+    rows = read(spark, sf, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("source_no"), "text")
+    return rounded(metrics.repeated_trigram_share(rows), "share")
+
+
+@query
+def lexical_only_support(spark: SparkSession, sf: str) -> DataFrame:
+    queries = vectors(spark, sf).withColumnRenamed("chunk_id", "query_id").join(passages(spark, sf).select("query_id"), "query_id", "left_semi")
+    ranked = pipeline.retrieve(passage_plans(spark, sf), doc_chunks(spark, sf), queries, doc_vectors(spark, sf)).withColumn("rank", F.col("rerank_rank"))
+    matches = metrics.facet_matches(ranked.select("query_id", "rank", "text"), _facets(spark, sf))
+    return metrics.lexical_only_support(ranked, matches).select("query_id", "rank", "chunk_id")
+
+
+@query
+def citation_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistants' turns with marks by their number; sources S1 to S3 are known."""
+    marks = F.concat(F.lit(" [S1] [S"), F.col("turn").cast("string"), F.lit("]"))
+    rows = read(spark, sf, "conversations").filter("role = 'assistant'")
+    answers = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat("text", marks).alias("answer"))
+    known = answers.select("answer_id", F.explode(F.array(*map(F.lit, ("S1", "S2", "S3")))).alias("label"))
+    found = metrics.citation_check(answers, known)
+    return found.select("answer_id", F.array_join("cited_labels", ",").alias("cited"), F.array_join("unknown_labels", ",").alias("unknown"), "has_citations")
+
+
+@query
+def usage_accounting(spark: SparkSession, sf: str) -> DataFrame:
+    """Event values as counters: many are no whole numbers."""
+    rows = read(spark, sf, "events").select(
+        "event_id", F.floor("value").alias("prompt_eval_count"), F.when(F.col("event_id") % 3 == 0, F.col("value")).otherwise(F.floor("value")).alias("eval_count"),
+        ((F.col("event_id") % 5) * 1e9).alias("eval_duration"),
+    )
+    found = metrics.usage(rows).select("event_id", "prompt_tokens", "output_tokens", "total_tokens", "tokens_per_second")
+    return rounded(found, "tokens_per_second")
+
+
+@query
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _passage_candidates(spark, sf)
+    return metrics.run_summary(rows, rows.filter("rank <= 12"))
+
+
+@query
+def label_precision(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean quality and toxicity of labelled documents among each passage's hits."""
+    labels = read(spark, sf, "labels")
+    rows = passage_hits(spark, sf).select("query_id", F.col("chunk_id").alias("doc_id")).join(labels, "doc_id")
+    found = rows.groupBy("query_id").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.count(F.lit(1)).alias("labelled"))
+    return rounded(found, "quality", "toxic")
+
+
+# --- conversations -------------------------------------------------------------------------------------------
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation.turn_pairs(read(spark, sf, "conversations"))
+
+
+@query
+def turn_window_state(spark: SparkSession, sf: str) -> DataFrame:
+    state = conversation.window_state(_turns(spark, sf))
+    return state.select("conv_id", "turn_no", F.size("turns").alias("turns"), F.array_join("periods", ",").alias("periods"), "focus", F.md5(F.array_join("turns.answer_summary", "|")).alias("summaries_md5"))
+
+
+@query
+def turn_context(spark: SparkSession, sf: str) -> DataFrame:
+    state = conversation.context(conversation.window_state(_turns(spark, sf)))
+    return state.select("conv_id", "turn_no", "context")
+
+
+def _saved(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as saved ones."""
+    turns = _turns(spark, sf)
+    source = F.array().cast(f"array<{store.SOURCE}>")
+    entry = F.struct("turn_no", F.struct("question", F.struct("answer", source.alias("sources")).alias("result")).alias("t"))
+    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+    return rows.select(
+        F.concat(F.lit("c"), "conv_id").alias("id"), F.concat(F.lit("Conversation "), "conv_id").alias("title"), F.lit(None).cast("double").alias("created"),
+        (F.lit(1.6e9) + F.col("conv_id")).alias("updated"), F.lit(None).cast("int").alias("archived"), F.lit(None).cast("int").alias("revision"),
+        F.lit("{}").alias("state"), F.to_json(F.transform("all", lambda x: x["t"])).alias("turns"), "conv_id",
+    )
+
+
+@query
+def store_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    saved = store.migrate(_saved(spark, sf).drop("conv_id"))
+    changes = _saved(spark, sf).filter("conv_id % 2 = 0").select("id", F.concat(F.lit("New "), "title").alias("title"), "state", "turns")
+    return store.upsert(saved, changes, 1.7e9).select("id", "title", "created", "updated", "archived", "revision")
+
+
+@query
+def store_list(spark: SparkSession, sf: str) -> DataFrame:
+    return store.list_saved(store.migrate(_saved(spark, sf).drop("conv_id")), "CONVERSATION 1")
+
+
+@query
+def store_export(spark: SparkSession, sf: str) -> DataFrame:
+    return store.export_markdown(store.migrate(_saved(spark, sf).drop("conv_id"))).select("id", F.md5("markdown").alias("markdown_md5"), F.length("markdown").alias("chars"))
+
+
+from gleaner import oracles  # noqa: E402
+
+ORACLES |= oracles.ORACLES
