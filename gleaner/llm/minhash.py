@@ -5,9 +5,10 @@ as many permutations give a signature of the same length with a lower variance.
 signature bring candidates together, and every candidate pair is confirmed on the full shingle sets.
 
 Texts with the same shingle set form one class, and a class enters the search once.  Within a bucket
-members meet a pivot; only members that are still in different components meet again, and when few
-such pairs remain all of them are compared, so no link between members of a bucket is lost and a
-large group of copies never meets in all pairs.
+members meet a pivot; after that only members that are still in different components meet, and before
+a pair leaves its bucket a parity sketch must allow it: the bits in which the sketches differ are a
+lower bound of the symmetric difference, so no link between members of a bucket is lost, and a large
+group of copies never leaves in all pairs.
 
 Chance of losing a link at the threshold of 0.85: (1 - 0.85 ** 8) ** 44 < 1e-6.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import as_bytes, materialize, small, text_slices
@@ -33,9 +34,13 @@ BANDS, ROWS = 44, 8
 #: Shingles that the permutations are applied to at once.
 CHUNK = 1 << 16
 KEPT_WORDS = 500_000
-#: Rounds with one pivot for each bucket before the remaining pairs are compared, and how many of those
-#: for each row of a bucket end the rounds early.
-PIVOT_ROUNDS, PAIRS_PER_ROW = 4, 4
+#: Most rounds with one pivot for each bucket before all remaining pairs meet; few enough of those for
+#: each row of a bucket end the rounds early.
+PIVOT_ROUNDS, PAIRS_PER_ROW = 4, 2000
+#: Words of 64 bits in a parity sketch.
+SKETCH = 16
+#: Sketches are broadcast up to so many rows (some 15 MB).
+SKETCH_ROWS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,6 +110,15 @@ def signatures(values: np.ndarray, sizes: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def parities(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(texts with shingles, SKETCH): for each bit whether an odd number of shingles falls on it."""
+    sizes = sizes[sizes > 0]
+    bits = 64 * SKETCH
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(owner * bits + (values % np.uint64(bits)).astype(np.int64), minlength=bits * len(sizes)) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sizes), bits), axis=1).view(np.int64)
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band, different between bands."""
     parts = signature.reshape(len(signature), bands, rows).astype(np.uint64)
@@ -115,9 +129,9 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, size: int) -> DataFrame:
-    """Rows (id, n, digest of the set or null, keys)."""
+    """Rows (id, n, digest of the set or null, keys, parity)."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {source.schema['id'].dataType.simpleString()}, n bigint, digest binary, keys array<bigint>"
+    schema = f"id {source.schema['id'].dataType.simpleString()}, n bigint, digest binary, keys array<bigint>, parity array<bigint>"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -125,6 +139,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, s
             for batch in text_slices(whole, 1):
                 values, sizes = shingles(as_bytes(batch.column(1)), known, size)
                 keys = iter(band_keys(signatures(values, sizes, bands * rows // 2), bands, rows).tolist())
+                parity = iter(parities(values, sizes).tolist())
                 ends = np.cumsum(sizes)
                 digests = [
                     xxhash.xxh3_128_digest(values[b - n : b].tobytes()) if n else None
@@ -136,8 +151,9 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, s
                         pa.array(sizes),
                         pa.array(digests, pa.binary()),
                         pa.array([next(keys) if n else None for n in sizes.tolist()], pa.list_(pa.int64())),
+                        pa.array([next(parity) if n else None for n in sizes.tolist()], pa.list_(pa.int64())),
                     ],
-                    ["id", "n", "digest", "keys"],
+                    ["id", "n", "digest", "keys", "parity"],
                 )
 
     return source.mapInArrow(kernel, schema)
@@ -194,56 +210,73 @@ def connect(edges: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    joined = joined.filter(  # by size alone, before the sets are compared
-        100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))
-    )
-    common = F.size(F.array_intersect("sa", "sb"))
-    return joined.withColumn("common", common).filter(
+    """The materialized pairs (a, b) of nodes that have 100 * intersection >= percent * union."""
+    sides = []
+    for end in ("a", "b"):  # sets that no pair asks for leave before anything is shuffled, if the pairs are few
+        asked = small(materialize(pairs.select(F.col(end).alias("node")).distinct()))
+        sides.append(sets.join(asked, "node", "left_semi").select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")))
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+    return joined.withColumn("common", F.size(F.array_intersect("sa", "sb"))).filter(
         100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))
     ).select("a", "b")
 
 
-def class_components(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Components of the nodes that share buckets (key, node): rows (node, root), or None without a link."""
-    comp = None
-    tested = None
-    total = buckets.count()
+def may_link(left: str, right: str, percent: int) -> Column:
+    """Whether sizes n and sketches p0, p1, ... of two sides (prefixes of their columns) allow a link."""
+    a, b = (lambda c: F.col(left + c)), (lambda c: F.col(right + c))
+    differ = sum((F.bit_count(a(f"p{k}").bitwiseXOR(b(f"p{k}"))) for k in range(SKETCH)), F.lit(0))
+    likely_size = 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
+    return likely_size & ((100 + percent) * differ <= (100 - percent) * (a("n") + b("n")))
+
+
+def prefixed(df: DataFrame, prefix: str, *same: str) -> DataFrame:
+    return df.select(*[F.col(c) if c in same else F.col(c).alias(prefix + c) for c in df.columns])
+
+
+def class_components(buckets: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Components of the nodes that share buckets (key, node): rows (node, root), or None without a link.
+
+    facts: (node, n, p0, p1, ...).
+    """
+    comp = tested = None
+    total, many = buckets.count(), facts.count()
+    known = small(facts, many, SKETCH_ROWS)
     for turn in range(PIVOT_ROUNDS + 1):
         if comp is None:
             members = buckets.withColumn("root", F.col("node"))
         else:
-            members = buckets.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+            members = buckets.join(small(comp), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        # A bucket's pivot is its member with the smallest hash, another one in each round.
+        by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("first"))
         state = (
             by_root.groupBy("key")
             .agg(
-                F.count(F.lit(1)).alias("roots"),
                 F.sum("n").alias("size"),
                 F.sum(F.col("n") * F.col("n")).alias("squares"),
-                F.max_by("root", F.struct("n", "root")).alias("main"),
-                F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot"),
+                F.max(F.struct("n", "root")).alias("main"),
+                F.min(F.struct("first", "root")).alias("pivot"),
             )
-            .filter("roots > 1")
+            .filter("size * size > squares")
+            .select("key", "size", "squares", F.col("main.root").alias("main"), F.col("pivot.first.node").alias("pivot"), F.col("pivot.root").alias("pivot_root"))
         )
         state = materialize(state)
         left = state.agg(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2)).first()[0]
         if not left:
             break
-        last = turn == PIVOT_ROUNDS or left <= PAIRS_PER_ROW * total
-        live = members.join(state.select("key", "main", "pivot"), "key")
-        if last:  # all pairs between components; one side leaves out the bucket's largest component
-            live = materialize(live.select("key", "node", "root", "main"))
-            minor = live.filter("root != main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-            pairs = minor.join(live, "key").filter(
-                (F.col("ra") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("node")))
-            )
-            pairs = pairs.select("a", F.col("node").alias("b"))
+        last = turn == PIVOT_ROUNDS or (turn > 0 and left <= PAIRS_PER_ROW * total)
+        if last:  # all members of different components; one side leaves out the bucket's largest component
+            live = materialize(members.join(state.select("key", "main"), "key").join(known, "node"))
+            minor = prefixed(live.filter("root != main").drop("main"), "a_", "key")
+            other = prefixed(live, "b_", "key")
+            apart = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("b_main")) | (F.col("a_node") < F.col("b_node")))
+            pairs = minor.join(other, (minor["key"] == other["key"]) & apart & may_link("a_", "b_", percent))
+            pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
         else:
-            pairs = live.filter(F.col("root") != F.col("pivot.root")).select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
+            live = members.join(state.select("key", "pivot", "pivot_root"), "key").filter("root != pivot_root")
+            met = live.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            a, b = prefixed(facts, "a_"), prefixed(facts, "b_")
+            pairs = met.join(small(a, many, SKETCH_ROWS), F.col("a") == F.col("a_node")).join(small(b, many, SKETCH_ROWS), F.col("b") == F.col("b_node"))
+            pairs = pairs.filter(may_link("a_", "b_", percent)).select("a", "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -253,9 +286,9 @@ def class_components(buckets: DataFrame, sets: DataFrame, percent: int) -> DataF
             if comp is None:
                 comp = connect(links)
             else:
-                known = comp.select(F.col("node").alias("x"), "root")
-                ends = links.join(known, F.col("a") == F.col("x"), "left").select(F.coalesce("root", "a").alias("a"), "b")
-                ends = ends.join(known, F.col("b") == F.col("x"), "left").select("a", F.coalesce("root", "b").alias("b"))
+                above = comp.select(F.col("node").alias("x"), "root")
+                ends = links.join(above, F.col("a") == F.col("x"), "left").select(F.coalesce("root", "a").alias("a"), "b")
+                ends = ends.join(above, F.col("b") == F.col("x"), "left").select("a", F.coalesce("root", "b").alias("b"))
                 more = connect(materialize(ends.filter("a != b").distinct()))
                 above = more.select(F.col("node").alias("x"), F.col("root").alias("above"))
                 moved = comp.join(above, F.col("root") == F.col("x"), "left").select("node", F.coalesce("above", "root").alias("root"))
@@ -292,9 +325,12 @@ def near_duplicates(
         wanted = small(nodes.select("id").distinct(), many)
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
         # An id may stand on several texts: the digest says which one is the node's.
-        found = shingle_sets(texts, size).join(nodes.select("digest", "node"), "digest").select("node", "shingles")
+        found = shingle_sets(texts, size).join(small(nodes.select("digest", "node"), many), "digest").select("node", "shingles")
         sets = materialize(found.dropDuplicates(["node"])) if has_repeats(table) else materialize(found)
-        comp = class_components(buckets, sets, percent)
+        sketches = [F.col("parity")[k].alias(f"p{k}") for k in range(SKETCH)]
+        facts = table.join(small(nodes.select(F.col("node").alias("row_id")), many), "row_id", "left_semi")
+        facts = materialize(facts.select(F.col("row_id").alias("node"), "n", *sketches))
+        comp = class_components(buckets, facts, sets, percent)
     if comp is not None:
         roots = classes.join(comp, "node", "left").select("digest", "id", "node", F.coalesce("root", "node").alias("root"))
         roots = materialize(roots)
