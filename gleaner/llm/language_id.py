@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, text_slices
+from gleaner.llm.common import as_bytes, text_slices, tidy
 
 UNDETERMINED = "und"
 #: First code points of blocks, and the script that letters from there on belong to (fixed values of Unicode).
@@ -82,7 +82,9 @@ SWITCH_PENALTY = 12.0
 SCRIPT_SHARE = 0.001
 SMOOTHING = 0.5
 #: Words whose scores are kept per worker.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
+#: Bytes of text that are labelled at once.
+LABELLED_BYTES = 1 << 20
 #: Cells (words times texts) of one padded Viterbi block.
 BLOCK = 1 << 18
 
@@ -236,7 +238,7 @@ def train(
         number = {x: k for k, x in enumerate(languages)}
         counts = np.zeros((len(languages), BUCKETS + len(SCRIPTS)), np.int64)
         for whole in batches:
-            for batch in text_slices(whole, 0):
+            for batch in text_slices(whole, 0, LABELLED_BYTES):
                 for text, lang in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                     words = [x for x in map(letters, text.decode().split()) if x]
                     if words:
@@ -250,7 +252,7 @@ def train(
             ["lang", "bucket", "n"],
         )
 
-    partial = rows.filter(chosen).select("text", "lang").mapInArrow(kernel, "lang int, bucket int, n bigint")
+    partial = rows.filter(chosen).select("text", "lang").mapInArrow(tidy(kernel), "lang int, bucket int, n bigint")
     # At most BUCKETS and the scripts for each language.
     summed = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS + len(SCRIPTS)))
@@ -269,7 +271,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, 1):
+            for batch in text_slices(whole, 1, LABELLED_BYTES):
                 found = model.predict(as_bytes(batch.column(1)))
                 columns = list(zip(*found, strict=True)) if found else [[], [], []]
                 yield pa.RecordBatch.from_arrays(
@@ -278,7 +280,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 )
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>"
-    return rows.mapInArrow(kernel, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(kernel), schema).withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -287,11 +289,11 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text_
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, names.index(text_col)):
+            for batch in text_slices(whole, names.index(text_col), LABELLED_BYTES):
                 found = model.predict(as_bytes(batch.column(names.index(text_col))))
                 yield batch.filter(pa.array([x[0] != UNDETERMINED and x[1] >= min_score for x in found], pa.bool_()))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return docs.mapInArrow(tidy(kernel), docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

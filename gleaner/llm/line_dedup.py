@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, materialize, text_slices
+from gleaner.llm.common import as_bytes, materialize, text_slices, tidy
 
 #: Lines over which the hash rolls; one in END_OF hashes ends a chunk; most lines of a chunk.
 REACH, END_OF, MOST = 2, 4, 16
@@ -76,7 +76,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     ["id", "begin", "h", "check"],
                 )
 
-    chunks = materialize(rows.select("id", "text").mapInArrow(digests, "id bigint, begin int, h bigint, check bigint"))
+    chunks = materialize(rows.select("id", "text").mapInArrow(tidy(digests), "id bigint, begin int, h bigint, check bigint"))
     repeated = chunks.groupBy("h", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "begin")).alias("first")).filter("n > 1")
     flagged = chunks.join(repeated.select("h", "check", "first"), ["h", "check"]).select(
         "id", F.struct("begin", "h", "check", (F.struct("id", "begin") == F.col("first")).alias("is_first")).alias("chunk")
@@ -98,7 +98,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     source = rows.select("id", "text").join(lists.hint("shuffle_hash"), "id")
-    texts = materialize(source.mapInArrow(texts_of, "id bigint, begin int, h bigint, check bigint, is_first boolean, chunk binary"))
+    texts = materialize(source.mapInArrow(tidy(texts_of), "id bigint, begin int, h bigint, check bigint, is_first boolean, chunk binary"))
     first = texts.filter("is_first").select("h", "check", F.col("chunk").alias("bytes"))
     gone = texts.filter("not is_first").join(first, ["h", "check"]).filter("chunk = bytes")
     removals = gone.groupBy("id").agg(F.collect_list("begin").alias("begins"))
@@ -125,4 +125,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     joined = rows.join(removals.hint("shuffle_hash"), "id", "left").select("doc", "text", "begins")
-    return joined.mapInArrow(clean, schema).withColumnRenamed("doc", id_col)
+    return joined.mapInArrow(tidy(clean), schema).withColumnRenamed("doc", id_col)

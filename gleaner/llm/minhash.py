@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, materialize, small, text_slices
+from gleaner.llm.common import as_bytes, materialize, small, text_slices, tidy
 
 SHINGLE = 5
 PERCENT = 85
@@ -156,7 +156,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, s
                     ["id", "n", "digest", "keys", "parity"],
                 )
 
-    return source.mapInArrow(kernel, schema)
+    return source.mapInArrow(tidy(kernel), schema)
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -173,7 +173,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), lists], ["id", "digest", "shingles"])
 
-    return docs.mapInArrow(kernel, schema)
+    return docs.mapInArrow(tidy(kernel), schema)
 
 
 def connect(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, materialize, text_slices
+from gleaner.llm.common import as_bytes, materialize, text_slices, tidy
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
@@ -37,7 +37,7 @@ WORD_END = "</w>"
 #: New words that are encoded in one call.
 JOINED = 256
 #: Words whose ids are kept per worker.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -247,7 +247,7 @@ def pack_partitions(
         if out:
             yield flush()
 
-    return rows.mapInArrow(kernel, schema)
+    return rows.mapInArrow(tidy(kernel), schema)
 
 
 def merge_leftovers(left: DataFrame, window: int, level: int) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, materialize, text_slices
+from gleaner.llm.common import as_bytes, materialize, text_slices, tidy
 from gleaner.llm.minhash import mix
 
 #: Least and most bytes of a chunk, and how many high bits of the hash are zero at its end.
@@ -91,7 +91,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 owner = batch.column(0).take(pa.array(np.repeat(np.arange(len(texts)), counts)))
                 yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(check), owner, pa.array(start)], ["h", "check", "id", "start"])
 
-    return docs.mapInArrow(kernel, "h bigint, check bigint, id bigint, start bigint")
+    return docs.mapInArrow(tidy(kernel), "h bigint, check bigint, id bigint, start bigint")
 
 
 def runs(chunks: list[dict], min_run: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -169,4 +169,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return joined.mapInArrow(kernel, schema).withColumnRenamed("doc", id_col)
+    return joined.mapInArrow(tidy(kernel), schema).withColumnRenamed("doc", id_col)

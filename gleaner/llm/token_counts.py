@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_slices
+from gleaner.llm.common import text_slices, tidy
 
 #: Fixed values of byte-level vocabularies: the split pattern, white space by its Unicode property.
 PATTERN = regex.compile(
@@ -172,5 +172,5 @@ def token_counts(
                     ["id", "n_bytes", "n_tokens"],
                 )
 
-    counted = rows.mapInArrow(kernel, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
+    counted = rows.mapInArrow(tidy(kernel), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
