@@ -197,9 +197,11 @@ def mixed_documents(
     the copies of their group as each of them counts.
     """
     rows = materialize(sized(docs, id_col, text_col, source_col))
-    found = mix_rows(rows, **options).select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_h"), "copies", "part")
-    alike = Window.partitionBy("_id", "_source", "_h").orderBy("copies", "part")
-    found = found.filter("copies > 0 or part > 0").withColumn("_nth", F.row_number().over(alike))
+    found = mix_rows(rows, **options).select(
+        F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_h"), F.col("copies").alias("_copies"), F.col("part").alias("_part")
+    )
+    alike = Window.partitionBy("_id", "_source", "_h").orderBy("_copies", "_part")
+    found = found.filter("_copies > 0 or _part > 0").withColumn("_nth", F.row_number().over(alike))
     names = docs.columns
     keyed = docs.withColumn("_h2", F.xxhash64(F.lit(20), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)))
     if rows.count() != rows.select("id", "source", "h").distinct().count():
@@ -211,7 +213,7 @@ def mixed_documents(
         found,
         F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (F.col("_nth") == F.col("_nth2")),
     )
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), F.lit(1), F.col("part").cast("int")), " ")
-    whole = F.array_repeat(F.col(text_col), F.col("copies").cast("int"))
-    texts = F.when(F.col("part") > 0, F.concat(whole, F.array(cut))).otherwise(whole)
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), F.lit(1), F.col("_part").cast("int")), " ")
+    whole = F.array_repeat(F.col(text_col), F.col("_copies").cast("int"))
+    texts = F.when(F.col("_part") > 0, F.concat(whole, F.array(cut))).otherwise(whole)
     return joined.withColumn("_text", F.explode(texts)).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in names])
