@@ -16,7 +16,7 @@ from gleaner.functions import identity
 from gleaner.functions import text as t
 from gleaner.functions.dates import normalize_date
 from gleaner.operators import chunk, conversation, dense, discovery, expand, fusion, lexical, metrics, rank, reader, select, timeline
-from gleaner.plans import interpret, pipeline
+from gleaner.plans import interpret, pipeline, pools
 from gleaner.sources import archive, html, store
 from gleaner.sources.archive import read_table as read
 
@@ -470,6 +470,32 @@ def discovery_merge(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("query_id", "article_path", "position", F.array_join("reasons", ",").alias("reasons"))
 
 
+def _discovered(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    articles = docs.select(F.concat(F.lit("doc_"), "doc_id").alias("path"), F.col("source").alias("title"), F.col("lang").alias("section"), F.col("text").alias("body"))
+    redirects = articles.select("path", F.col("path").alias("target"))
+    # Each document links to the next one.
+    links = docs.select(
+        F.concat(F.lit("doc_"), "doc_id").alias("article_path"), F.concat(F.lit("doc_"), F.col("doc_id") + 1).alias("href"), F.substring_index("text", " ", 2).alias("anchor"),
+        F.col("text").alias("context"), F.lit(0).alias("position"),
+    )
+    return pools.discover_plan(passage_plans(spark, sf), articles, redirects, links)
+
+
+@query
+def discover_articles(spark: SparkSession, sf: str) -> DataFrame:
+    return _discovered(spark, sf).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query
+def pool_retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    """Each passage searches the chunks of its own articles only."""
+    chunks = article_chunks(spark, sf)
+    pool = pools.pool_chunks(chunks, _discovered(spark, sf))
+    found = pipeline.retrieve(passage_plans(spark, sf), chunks, pool=pool)
+    return found.select("query_id", "chunk_id", "rerank_score", "rerank_rank")
+
+
 # --- selection ---------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,8 @@ from gleaner.functions import text as t
 from gleaner.operators import dense, expand, fusion, lexical, metrics, rank, select, timeline
 from gleaner.operators.sizes import bounded
 from gleaner.plans import generate as g
-from gleaner.plans import interpret
+from gleaner.plans import interpret, pools
+from gleaner.sources.lineage import cut
 
 DIRECTIONS = {"bm25": "lower", "dense": "higher"}
 
@@ -22,25 +23,37 @@ def indexed(chunks: DataFrame) -> DataFrame:
     )
 
 
-def branches(plans: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None, chunk_vectors: DataFrame | None, config: Config) -> DataFrame:
+def branches(
+    plans: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None, chunk_vectors: DataFrame | None, config: Config, pool: DataFrame | None = None
+) -> DataFrame:
     """Rows (query_id, branch, candidate_id, score) of BM25 and, where there are vectors, of the dense branch.
 
-    A plan's seed queries count with their best score, as one branch.
+    With a pool (chunks with the query_id whose search they are in) both branches stay in it, and BM25
+    has its statistics from it.
     """
     asked = plans.select("query_id", F.col("resolved_question").alias("query"))
-    found = lexical.bm25(asked, indexed(chunks), config.hybrid_branch_k).select("query_id", F.lit("bm25").alias("branch"), F.col("chunk_id").alias("candidate_id"), "score")
+    if pool is not None:
+        index = pool.select("query_id", "chunk_id", F.translate("article_path", "_", " ").alias("title"), rank.headings().alias("section"), F.col("text").alias("body"))
+        found = lexical.bm25(asked, index, config.hybrid_branch_k, "pool")
+    else:
+        found = lexical.bm25(asked, indexed(chunks), config.hybrid_branch_k)
+    found = found.select("query_id", F.lit("bm25").alias("branch"), F.col("chunk_id").alias("candidate_id"), "score")
     if query_vectors is None or chunk_vectors is None:
         return found
-    scored = dense.cosine_topk(query_vectors.join(plans.select("query_id"), "query_id", "left_semi"), chunk_vectors, config.hybrid_branch_k)
+    own = query_vectors.join(plans.select("query_id"), "query_id", "left_semi")
+    if pool is not None:
+        scored = pools.pool_cosine(pool, own, chunk_vectors, config.hybrid_branch_k)
+    else:
+        scored = dense.cosine_topk(own, chunk_vectors, config.hybrid_branch_k)
     return found.unionByName(scored.select("query_id", F.lit("dense").alias("branch"), F.col("chunk_id").alias("candidate_id"), "score"))
 
 
 def retrieve(
-    plans: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, config: Config | None = None
+    plans: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, config: Config | None = None, pool: DataFrame | None = None
 ) -> DataFrame:
-    """Reranked candidates of each plan, with provenance.  Without vectors BM25 alone decides."""
+    """Reranked candidates of each plan, with provenance.  Without vectors BM25 alone decides; a pool limits the search."""
     cfg = config or Config()
-    rows = branches(plans, chunks, query_vectors, chunk_vectors, cfg)
+    rows = branches(plans, chunks, query_vectors, chunk_vectors, cfg, pool)
     directions = DIRECTIONS if query_vectors is not None and chunk_vectors is not None else {"bm25": "lower"}
     fused = fusion.rrf(rows, directions, cfg.rrf_k, cfg.hybrid_branch_k, cfg.hybrid_merge_k)
     # Texts join late: ranks were settled on ids and scores alone.
@@ -80,16 +93,23 @@ def timeline_hits(ranked: DataFrame, plans: DataFrame, chunks: DataFrame, config
 
 def ask(
     questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, config: Config | None = None,
-    generator: g.Generator | None = None, output_tokens: int = 600,
+    generator: g.Generator | None = None, output_tokens: int = 600, articles: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, question) to an answer record each: answer, sources, citation check, counts."""
+    """(query_id, question) to an answer record each: answer, sources, citation check, counts.
+
+    articles: (query_id, article_path, position, reasons) from pools.discover_plan; without them the
+    search is over all chunks.
+    """
     cfg = config or Config()
-    plan_rows = interpret.plans(questions, cfg)
+    plan_rows = cut(interpret.plans(questions, cfg))
+    pool = None if articles is None else pools.pool_chunks(chunks, articles, cfg)
     if cfg.retrieval_mode == "legacy" and query_vectors is not None and chunk_vectors is not None:
         ranked = retrieve_legacy(plan_rows, chunks, query_vectors, chunk_vectors, cfg)
     else:
-        ranked = retrieve(plan_rows, chunks, query_vectors, chunk_vectors, cfg)
+        ranked = retrieve(plan_rows, chunks, query_vectors, chunk_vectors, cfg, pool)
+    ranked = cut(ranked)
     events, dated = timeline_hits(ranked, plan_rows, chunks, cfg)
+    events, dated = cut(events), cut(dated)
     # Events replace the ranked passages of a question if there is at least one.
     shape = ["query_id", "chunk_id", "article_path", "section", "subsection", "text", "rerank_score"]
     plain = ranked.select(*shape).join(dated.select("query_id").distinct(), "query_id", "left_anti")
@@ -97,11 +117,11 @@ def ask(
     fixed = F.lit(select.CHAT_OVERHEAD + select.tokens(g.SYSTEM) + 40) + t.estimate_tokens("question")
     subjects = F.transform(F.filter("entities", lambda e: e["reason"] == "comparison subject"), lambda e: e["normalized_name"])
     facts = plan_rows.select("query_id", fixed.cast("int").alias("fixed_tokens"), subjects.alias("subjects"))
-    packed = select.pack_evidence(hits.join(bounded(facts), "query_id"), cfg, output_tokens=output_tokens)
+    packed = cut(select.pack_evidence(hits.join(bounded(facts), "query_id"), cfg, output_tokens=output_tokens))
     chosen = packed.filter(F.col("label").isNotNull()).join(hits.select("query_id", "chunk_id", "section", "subsection").distinct(), ["query_id", "chunk_id"])
     source = F.struct(F.substring("label", 2, 4).cast("int").alias("no"), "label", "article_path", "section", "subsection", "supplied_text", "chunk_id")
     sources = chosen.groupBy("query_id").agg(F.sort_array(F.collect_list(source)).alias("sources"))
-    answers = g.generate(plan_rows.join(sources, "query_id", "left"), generator)
+    answers = cut(g.generate(plan_rows.join(sources, "query_id", "left"), generator))
     labels = answers.select(F.col("query_id").alias("answer_id"), F.explode("sources.label").alias("label"))
     checked = metrics.citation_check(answers.select(F.col("query_id").alias("answer_id"), "answer"), labels)
     out = answers.join(checked.withColumnRenamed("answer_id", "query_id"), "query_id")

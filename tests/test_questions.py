@@ -126,3 +126,32 @@ def test_merge_keeps_places(spark):
     assert len(got) == 5 and "Roman_Crisis_Article" in got and "History" not in got
     assert sum(x.startswith("Seed") for x in got) == 1 and sum(x.startswith("Link") for x in got) == 3
     assert got["Seed_0"] == ["question search", "related"]
+
+
+def test_discovery_and_pool(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.operators import chunk
+    from gleaner.plans import pipeline, pools
+
+    texts = {"Roman_Crisis": "The crisis of the republic began. " * 3, "Sulla": "Sulla was a general of the crisis. ", "Olive": "Olives grow. ", "Old_Name": ""}
+    articles = spark.createDataFrame([(p, p.replace("_", " "), "", x) for p, x in texts.items()], "path string, title string, section string, body string")
+    redirects = spark.createDataFrame([("Old_Name", "Roman_Crisis"), ("Sulla", "Sulla")], "path string, target string")
+    links = spark.createDataFrame([("Roman_Crisis", "Sulla", "Sulla", "political crisis", 0)], "article_path string, href string, anchor string, context string, position int")
+    plan_rows = plans(questions(spark, "What caused the Roman Crisis in the old republic?"))
+    found = pools.discover_plan(plan_rows, articles, redirects, links)
+    got = {r["article_path"]: r["reasons"] for r in found.collect()}
+    assert "direct title" in got["Roman_Crisis"] and "Sulla" in got and "Olive" not in got
+    single = spark.createDataFrame([(1, "X", 1), (9, "Y", 1)], "query_id int, article_path string, position int")
+    assert {(r["query_id"], r["article_path"]) for r in pools.with_fallback(found, single).collect()} >= {(9, "Y")}
+    blocks = articles.select(F.col("path").alias("article_path"), chunk.paragraphs("body").alias("blocks"))
+    chunks = chunk.chunk_articles(blocks)
+    pool = pools.pool_chunks(chunks, found)
+    assert {r["article_path"] for r in pool.select("article_path").collect()} == {"Roman_Crisis", "Sulla"}
+    ranked = pipeline.retrieve(plan_rows, chunks, pool=pool).orderBy("rerank_rank").collect()
+    assert ranked[0]["article_path"] == "Roman_Crisis"
+    answer = pipeline.ask(questions(spark, "What caused the Roman Crisis in the old republic?"), chunks, articles=found).first()
+    assert answer["sources"][0]["article_path"] == "Roman_Crisis"
+    vectors = chunks.select("chunk_id", F.array(F.lit(1.0), F.length("text").cast("double")).alias("vector"))
+    asked = spark.createDataFrame([(1, [1.0, 1.0])], "query_id int, vector array<double>")
+    assert pools.pool_cosine(pool, asked, vectors, 1).count() == 1
