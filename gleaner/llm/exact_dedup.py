@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize
+from gleaner.llm.common import materialize, small
 
 
 def digest(text: str | Column) -> Column:
@@ -115,8 +115,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = settle(rows, counters)
     keys = rows.agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("ids"), F.countDistinct("id").alias("distinct")).first()
     if keys["n"] == keys["distinct"]:
-        dropped = found.filter(F.col("row_id") != F.col("keep.row_id")).select(F.col("id").alias("_gone"))
-        return docs.join(dropped, docs[id_col] == F.col("_gone"), "left_anti")
+        dropped = materialize(found.filter(F.col("row_id") != F.col("keep.row_id")).select(F.col("id").alias("_gone")))
+        return docs.join(small(dropped), docs[id_col] == F.col("_gone"), "left_anti")
     # Some ids are null or repeat: rows are told apart by id and digest, and equal ones thinned to one.
     stay = found.filter(F.col("row_id") == F.col("keep.row_id")).select(
         F.col("id").alias("_stay"), F.col("digest").alias("_kept_digest")

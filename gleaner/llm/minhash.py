@@ -361,8 +361,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each group, with their own columns; rows are told apart by id, and by order if ids repeat."""
     found = materialize(near_duplicates(docs, id_col, text_col, **options))
     if not has_repeats(found.select(F.col(id_col).alias("id"))):
-        gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-        return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+        gone = materialize(found.filter(~F.col("kept")).select(F.col(id_col).alias("_gone")))
+        return docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
     # Repeated ids: rows of an id with equal sets are interchangeable, so so many of them stay as were kept.
     names = docs.columns
     keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
