@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="gleaner-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="gleaner-")
 
 
 def materialize(df: DataFrame) -> DataFrame:
