@@ -16,6 +16,7 @@ from gleaner.functions import identity
 from gleaner.functions import text as t
 from gleaner.functions.dates import normalize_date
 from gleaner.operators import chunk, conversation, dense, discovery, expand, fusion, lexical, metrics, rank, reader, select, timeline
+from gleaner.operators.sizes import bounded
 from gleaner.plans import interpret, pipeline, pools
 from gleaner.sources import archive, html, store
 from gleaner.sources.archive import read_table as read
@@ -89,7 +90,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
     # The passages are few and of fixed number, so they go to every partition of the documents.
-    return docs.join(F.broadcast(items), F.contains("body", "text")).select("query_id", "chunk_id")
+    return docs.join(bounded(items), F.contains("body", "text")).select("query_id", "chunk_id")
 
 
 # --- retrieval ----------------------------------------------------------------------------------
@@ -106,7 +107,7 @@ def bm25_pool(spark: SparkSession, sf: str) -> DataFrame:
     langs = F.array(*map(F.lit, ("de", "en", "es", "fr")))
     asked = passages(spark, sf).withColumn("lang", F.get(langs, (F.col("query_id") % 4).cast("int")))
     docs = doc_index(spark, sf)
-    pool = docs.join(F.broadcast(asked.select("query_id", F.col("lang").alias("section"))), "section")
+    pool = docs.join(bounded(asked.select("query_id", F.col("lang").alias("section"))), "section")
     return rounded(lexical.bm25(asked.select("query_id", "query"), pool, 10, scope="pool"), "score")
 
 
@@ -204,7 +205,7 @@ def minmax_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def overlap_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _passage_candidates(spark, sf).join(F.broadcast(passages(spark, sf)), "query_id")
+    rows = _passage_candidates(spark, sf).join(bounded(passages(spark, sf)), "query_id")
     return rounded(
         rows.select("query_id", "doc_id", t.overlap(t.words("query"), t.words("text")).alias("lexical"), t.density("text").alias("completeness"), t.estimate_tokens("text").alias("tokens")),
         "lexical", "completeness",
@@ -227,7 +228,7 @@ def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def section_affinity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _passage_candidates(spark, sf).join(F.broadcast(passages(spark, sf)), "query_id")
+    rows = _passage_candidates(spark, sf).join(bounded(passages(spark, sf)), "query_id")
     score = rank.section_affinity(F.lit("cause"), F.col("query"))
     return rounded(rows.select("query_id", "doc_id", score.alias("affinity")), "affinity")
 
@@ -322,7 +323,7 @@ def even_sample(spark: SparkSession, sf: str) -> DataFrame:
 def pool_cap(spark: SparkSession, sf: str) -> DataFrame:
     """At most 480 chunks of each question, articles in the order of discovery."""
     hits = passage_hits(spark, sf).select("query_id", F.concat(F.lit("doc_"), "chunk_id").alias("article_path"), F.col("rank").alias("article_position"))
-    pool = article_chunks(spark, sf).join(F.broadcast(hits), "article_path")
+    pool = article_chunks(spark, sf).join(bounded(hits), "article_path")
     return expand.cap_pool(pool.select("query_id", "article_path", "article_position", "chunk_no", "chunk_id"), 480)
 
 
