@@ -36,8 +36,8 @@ GROUP = 32
 WORD_END = "</w>"
 #: New words that are encoded in one call.
 JOINED = 256
-#: Words whose ids are kept per worker.
-KEPT_WORDS = 400_000
+#: Words, and cores of words with their ids, that are kept per worker.
+KEPT_WORDS, KEPT_CORES = 400_000, 600_000
 
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -133,8 +133,10 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many of them each text has."""
-        if len(self.words) > KEPT_WORDS:
+        if len(self.cores) > KEPT_CORES:
             self.forget()
+        elif len(self.words) > KEPT_WORDS:
+            self.words, self.word_cores = Numbered(), Ragged()
         number, found, counts = self.words.__getitem__, [], []
         for t in texts:
             words = t.split()
