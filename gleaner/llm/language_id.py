@@ -13,6 +13,7 @@ go to the language that comes first by code point; texts are labelled whole, wha
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -117,6 +118,10 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(whose)
 
 
+#: The scored words of the model that this worker used last.
+_SCORED: dict[str, tuple] = {}
+
+
 @dataclass
 class Model:
     """languages in order; logp (BUCKETS, languages); allowed: script to the languages that may use it."""
@@ -125,12 +130,18 @@ class Model:
     logp: np.ndarray
     allowed: dict[str, np.ndarray]
     penalty: float = SWITCH_PENALTY
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
     words: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
     letters: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("languages", "logp", "allowed", "penalty")} | {"words": {}, "scores": None, "letters": None}
+        return {k: getattr(self, k) for k in ("languages", "logp", "allowed", "penalty", "key")}
+
+    def __setstate__(self, state: dict) -> None:
+        """In a worker: take over the words that earlier tasks scored with the same model."""
+        self.__dict__.update(state)
+        self.words, self.scores, self.letters = _SCORED.get(self.key, ({}, None, None))
 
     def look_up(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Numbers of the words of each text, for `scores` and `letters`."""
@@ -154,6 +165,8 @@ class Model:
             self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
             self.scores = np.concatenate([self.scores, scores])
             self.letters = np.concatenate([self.letters, np.fromiter(map(len, own), np.int32, len(own))])
+            _SCORED.clear()
+            _SCORED[self.key] = (self.words, self.scores, self.letters)
         return [np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)) for words in texts]
 
     def paths(self, texts: list[np.ndarray]) -> list[np.ndarray]:
@@ -292,6 +305,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text_
             for batch in text_slices(whole, names.index(text_col), LABELLED_BYTES):
                 found = model.predict(as_bytes(batch.column(names.index(text_col))))
                 yield batch.filter(pa.array([x[0] != UNDETERMINED and x[1] >= min_score for x in found], pa.bool_()))
+        _SCORED.clear()  # other stages follow in this worker
 
     return docs.mapInArrow(tidy(kernel), docs.schema)
 
