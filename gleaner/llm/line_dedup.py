@@ -1,13 +1,16 @@
 """Line deduplication by content-defined chunks of lines.
 
-A rolling hash over the hashes of neighbouring lines ends the chunks, so added or lost lines shift
-no more than the chunks around them.  Chunks of two lines or more whose digest stands more than once
-in the corpus are candidates; their bytes are compared with those of the first occurrence, the one of
-the smallest id and then the earliest, and those that are equal go.
-
-Cases: null texts count as empty; a text of one line has no multi-line chunk and stays as it is;
-chunks without any word stay; rows that share an id (or have none) are documents of their own, in
-table order; an empty table gives an empty result.
+Every line with a word begins a chunk that ends with the next such line, blank lines between them
+included.  So chunks overlap, and what stands around a passage decides nothing: a run of repeated lines
+of any length is covered by its own chunks, and none of them is missed.  Chunks whose digest stands more
+than once in the corpus are candidates; their bytes are compared with those of the first occurrence, the
+one of the smallest id and then the earliest, and the lines of those that are equal go.  The first place
+of a line with words always stays, as no chunk that holds it has an earlier equal.
+
+Cases: null texts count as empty; a text with one line of words has no multi-line chunk and stays as it
+is, and so does a line that is repeated without a neighbour; of equal lines side by side the first stays;
+rows that share an id (or have none) are documents of their own, in table order; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,38 +25,26 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import as_bytes, materialize, text_slices, tidy
 
-#: Lines over which the hash rolls; one in END_OF hashes ends a chunk; most lines of a chunk.
-REACH, END_OF, MOST = 2, 4, 16
-_FACTOR = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+#: Lines with words in a chunk.
+MOST = 2
 
 
 def line_chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """Chunks of lines, from and to."""
-    hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-    out, begin = [], 0
-    for k in range(len(lines)):
-        rolled = 0
-        for h in hashes[max(begin, k - REACH + 1) : k + 1]:
-            rolled = (rolled * _FACTOR + h) & _MASK
-        rolled = (rolled ^ rolled >> 31) * _FACTOR & _MASK
-        full = k + 1 - begin >= MOST
-        if full or k + 1 - begin >= REACH and (rolled >> 40) % END_OF == 0:
-            out.append((begin, k + 1))
-            begin = k + 1
-    if begin < len(lines):
-        out.append((begin, len(lines)))
-    return out
+    """Chunks of lines, from and to; neighbours share a line."""
+    worded = [k for k, x in enumerate(lines) if x.strip()]
+    return [(a, b + 1) for a, b in zip(worded, worded[MOST - 1 :], strict=False)]
 
 
 def candidates(lines: list[bytes]) -> list[tuple[int, int, bytes]]:
-    """Chunks of two lines or more with a word: from, to and bytes."""
-    found = ((a, b, b"\n".join(lines[a:b])) for a, b in line_chunks(lines) if b - a > 1)
-    return [x for x in found if x[2].strip()]
+    """Chunks: from, to and bytes."""
+    return [(a, b, b"\n".join(lines[a:b])) for a, b in line_chunks(lines)]
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_lines, n_chunks, removed_chunks, removed_lines, removed (line spans), clean_text."""
+    """One row per document: id, n_lines, n_chunks, removed_chunks, removed_lines, removed, clean_text.
+
+    removed: line spans of the chunks that go; neighbours share a line, and their union is what goes.
+    """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     counted = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("ids")).first()
     if counted["n"] == counted["ids"] and dict(rows.dtypes)["doc"] in ("tinyint", "smallint", "int", "bigint"):
@@ -118,9 +109,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     lines = text.split(b"\n")
                     chunks, drop = line_chunks(lines), set(begins or ())
                     removed = [(a, b) for a, b in chunks if a in drop]
-                    kept = [x for a, b in chunks if a not in drop for x in lines[a:b]]
+                    gone = {k for a, b in removed for k in range(a, b)}
+                    kept = [x for k, x in enumerate(lines) if k not in gone]
                     spans = [{"start": a, "end": b} for a, b in removed]
-                    out.append((len(lines), len(chunks), len(removed), sum(b - a for a, b in removed), spans, b"\n".join(kept).decode()))
+                    out.append((len(lines), len(chunks), len(removed), len(gone), spans, b"\n".join(kept).decode()))
                 columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 

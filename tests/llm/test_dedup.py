@@ -249,6 +249,45 @@ def test_line_chunks_resist_shifts():
     assert all(b - a <= line_dedup.MOST for a, b in line_dedup.line_chunks([b"same"] * 100))
 
 
+def repeated_runs(rows):
+    """Places of lines in pairs of adjacent lines that stand at an earlier place, by brute force."""
+    first, gone = {}, set()
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        for k in range(len(lines) - 1):
+            if first.setdefault((lines[k], lines[k + 1]), (i, k)) != (i, k):
+                gone |= {(i, k), (i, k + 1)}
+    return gone
+
+
+def test_planted_line_runs_go(spark):
+    """Runs of 2 to 9 lines in unrelated documents: all lines of the later copy go, no others."""
+    rng = np.random.default_rng(11)
+    line = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(7))
+    rows, expected = [], {}
+    for n in range(200):
+        run = [line() for _ in range(2 + n % 8)]
+        for i in (n, 1000 + n):
+            before, after = ([line() for _ in range(rng.integers(0, 6))] for _ in "ab")
+            rows.append((i, "\n".join([*before, *run, *after])))
+            expected[i] = "\n".join([*before, *run, *after] if i < 1000 else [*before, *after])
+    found = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["clean_text"] for i, r in found.items()} == expected
+    assert all(found[1000 + n]["removed_lines"] == 2 + n % 8 for n in range(200))
+
+
+def test_all_repeated_line_runs_go(docs, texts):
+    assert not any("\n\n" in t or t.endswith("\n") for t in texts.values())  # or blank lines count
+    found = line_dedup.line_dedup(docs).select("doc_id", "removed").collect()
+    assert {(r["doc_id"], k) for r in found for s in r["removed"] for k in range(s["start"], s["end"])} == repeated_runs(texts.items())
+
+
+def test_blank_lines_in_runs(spark):
+    rows = [(1, "a b\n\nc d\nx"), (2, "y\na b\n\nc d\n"), (3, "z\n\nc d\n"), (4, "same\nsame\nsame")]
+    found = {r["doc_id"]: r["clean_text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: rows[0][1], 2: "y\n", 3: rows[2][1], 4: "same"}
+
+
 def test_lines_odd(odd, empty):
     rows = {r["doc_id"]: r for r in line_dedup.line_dedup(odd).collect()}
     assert rows[2]["clean_text"] == "" and rows[4]["removed_chunks"] == 0
