@@ -6,7 +6,7 @@ one's own, `labelled_findings` makes some by rule: formats of known credentials
 beside words like `password`, against digests, identifiers, numbers and placeholders.
 
 Cases: null and empty texts have no candidates; a candidate that stands more than once in a text is
-one finding with the first place and the number of places; an empty table gives an empty result; the
+judged at every place by its own neighbours, and is one finding with the highest score and all its places; an empty table gives an empty result; the
 secret itself is not in the result, only a masked form and its digest.
 """
 
@@ -86,19 +86,22 @@ def with_features(rows: DataFrame) -> DataFrame:
 
 
 def find_candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """Rows (id, path, candidate, start, places, before, after), one for each text and candidate; start counts characters from 0."""
+    """Rows (row, id, path, candidate, start, before, after), one for each place of a candidate; start counts characters from 0."""
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path"))
-    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    each = rows.filter(F.col("text").rlike(CANDIDATE)).withColumn("all", found)
-    each = each.withColumn("candidate", F.explode(F.array_distinct("all")))
-    start = F.instr("text", F.col("candidate")).alias("start")
-    each = each.select("id", "path", "candidate", "text", F.size(F.filter("all", lambda x: x == F.col("candidate"))).alias("places"), start)
-    begin = F.greatest(F.lit(1), F.col("start") - BEFORE)
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).filter(F.col("text").rlike(CANDIDATE))
+    # The matches and what stands between them give the offsets, as both walk the same matches.
+    found = rows.withColumn("all", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("gaps", F.split("text", CANDIDATE, -1))
+    sizes = F.zip_with(F.slice("gaps", 1, F.size("all")), "all", lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x).alias("own")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts"))
+    found = found.withColumn("starts", F.aggregate(sizes, begin, step)["starts"])
+    each = found.select("row", "id", "path", "text", F.inline(F.arrays_zip(F.col("all").alias("candidate"), F.col("starts").alias("start"))))
+    first = F.greatest(F.lit(0), F.col("start") - BEFORE)
     return each.select(
-        "id", "path", "candidate", (F.col("start") - 1).cast("bigint").alias("start"), F.col("places").cast("bigint").alias("places"),
-        F.substring("text", begin, F.col("start") - begin).alias("before"),
-        F.substring("text", F.col("start") + F.length("candidate"), F.lit(AFTER)).alias("after"),
+        "row", "id", "path", "candidate", F.col("start").cast("bigint").alias("start"),
+        F.substring("text", first + 1, F.col("start") - first).alias("before"),
+        F.substring("text", F.col("start") + F.length("candidate") + 1, F.lit(AFTER)).alias("after"),
     )
 
 
@@ -155,11 +158,13 @@ def scan(
     path_col: str | None = "source",
     threshold: float = 0.5,
 ) -> DataFrame:
-    """One row per text and candidate: id, start, length, places, masked, sha256, score, is_secret."""
+    """One row per text and candidate: id, start, starts (of all places), length, places, masked, sha256, score, is_secret."""
     scored = model.transform(with_features(find_candidates(docs, id_col, text_col, path_col)))
-    score = F.round(vector_to_array("probability")[1], 6)
+    places = scored.withColumn("score", F.round(vector_to_array("probability")[1], 6)).groupBy("row", "id", "candidate")
+    each = places.agg(F.sort_array(F.collect_list("start")).alias("starts"), F.max("score").alias("score"))
     masked = F.concat(F.substring("candidate", 1, 4), F.lit("…"), F.length("candidate").cast("string"))
-    return scored.select(
-        F.col("id").alias(id_col), "start", F.length("candidate").cast("bigint").alias("length"), "places", masked.alias("masked"),
-        F.sha2(F.col("candidate").cast("binary"), 256).alias("sha256"), score.alias("score"), (score >= threshold).alias("is_secret"),
+    return each.select(
+        F.col("id").alias(id_col), F.col("starts")[0].alias("start"), "starts", F.length("candidate").cast("bigint").alias("length"),
+        F.size("starts").cast("bigint").alias("places"), masked.alias("masked"),
+        F.sha2(F.col("candidate").cast("binary"), 256).alias("sha256"), "score", (F.col("score") >= threshold).alias("is_secret"),
     )

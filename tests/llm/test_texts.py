@@ -244,3 +244,14 @@ def test_scan(spark, odd, empty):
     assert {i: r["is_secret"] for i, r in found.items()} == {1: True, 2: False, 3: False, 5: True, 6: False}
     assert found[1]["start"] == rows[0][1].index(key) and found[1]["places"] == 2 and key not in found[1]["masked"]
     assert secrets.scan(odd, model).count() == 0 and secrets.scan(empty, model).count() == 0
+
+
+def test_scan_judges_every_place(spark):
+    model = secrets.train_forest(secrets.labelled_findings(spark))
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    gap = " and many more plain words of prose stand between these places of the text, é🙂 "
+    text = f'see commit {key}{gap}x{key}y{gap}api_key = "{key}" end'
+    rows = [(1, text, "src/a.py"), (1, f"see commit {key}", "src/a.py")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id int, text string, source string"), model).collect()
+    mine = {tuple(r["starts"]): r["is_secret"] for r in found if r["length"] == 40}
+    assert mine == {(text.index(key), text.rindex(key)): True, (11,): False}
