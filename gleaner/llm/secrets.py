@@ -2,8 +2,8 @@
 
 Everything is a DataFrame operation: candidates come from a regular expression, their features from
 built-in functions, and the forest is Spark's own, trained on labelled findings.  Without findings of
-one's own, `labelled_findings` makes some by rule: formats of known credentials and random strings
-beside words like `password`, against digests, identifiers, numbers and placeholders.
+one's own, `labelled_findings` makes some by rule: formats of known credentials, random strings
+and passwords beside words like `password` or in URLs, against digests, identifiers, numbers and placeholders.
 
 Cases: null and empty texts have no candidates; a candidate that stands more than once in a text is
 judged at every place by its own neighbours, and is one finding with the highest score and all its places; an empty table gives an empty result; the
@@ -20,14 +20,26 @@ from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of 12 or more characters of keys with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
+SECRET_WORDS = r"(?i)(secret|token|passw(or)?d|pwd|passphrase|api[_ -]?key|apikey|access[_ -]?key|auth|bearer|credential|private[_ -]?key)"
+#: A secret word and the rest of its name.
+_NAMED = "(?i:" + SECRET_WORDS.removeprefix("(?i)").replace("(", "(?:") + r")[\w.-]{0,20}"
+#: What may be a secret: blocks of private keys; the password of an URL; a web token with its signature; what stands in quotes or is
+#: assigned after a secret word, marks included; a run of 12 or more characters of keys with a digit; letters of changing case, or many.
+CANDIDATE = "|".join((
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]{0,8000}?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)?",
+    r"(?<=:)(?<=://[^\s/:@\"'<>]{0,64}:)[^\s/@\"'<>]{1,200}(?=@)",
+    r"(?<![A-Za-z0-9+/_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*)?",
+    rf"(?<=[\"'`])(?<={_NAMED}[^\n\"'`\w]{{0,4}}[\"'`]?[^\n\"'`\w]{{0,8}}([\"'`]))(?:(?!\1)[^\n]){{4,200}}(?=\1)",
+    rf"(?<=[=:\s])(?<=[=:]\s{{0,3}}|[Rr]\s{{1,3}})(?<={_NAMED}[\"'`]?\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}|(?i:bearer)\s{{1,3}})(?!(?i:bearer|basic)\s)[^\s\"'`,;]{{3,199}}[^\s\"'`,;.)\]}}]",
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}",
+    r"(?<![A-Za-z0-9+/_-])(?:(?=(?:[A-Z+/_-]*[a-z][a-z+/_-]*[A-Z]){2})[A-Za-z+/_-]{16,}|[A-Za-z]{20,}(?![A-Za-z0-9+/_-]))",
+))
 #: Characters before a candidate in which neighbouring words are looked for, and after it.
 BEFORE, AFTER = 48, 16
 #: How well-known credentials begin.
 PREFIXES = r"^(AKIA|ASIA|AIza|eyJ|gh[pousr]_|github_pat_|glpat-|hf_|npm_|pypi-|sk-|sk_live_|rk_live_|xox[abpr]-)"
-SECRET_WORDS = r"(?i)(secret|token|passw(or)?d|pwd|passphrase|api[_ -]?key|apikey|access[_ -]?key|auth|bearer|credential|private[_ -]?key)"
 HARMLESS_WORDS = r"(?i)(commit|sha-?(1|256|512)?|md5|checksum|digest|uuid|guid|version|revision|hash|etag|build|order|invoice|phone|isbn|example|sample|placeholder|dummy|test)"
+PLACEHOLDERS = r"(?i)(your|change|example|placeholder|dummy|none|null|true|false|required|optional|<.*>|\$\{|\{\{|%\(|\*{3}|xxx|\.\.\.)"
 HARMLESS_PATHS = r"(?i)(test|example|sample|fixture|docs?/|readme|vendor|\.lock$|\.md$|\.svg$)"
 #: Words whose letters count as covered by a dictionary.
 DICTIONARY = (
@@ -43,7 +55,7 @@ DICTIONARY = (
 LABELLED = 6000
 FEATURES = (
     "length", "digits", "uppers", "lowers", "marks", "distinct", "transitions", "longest_letters", "covered", "hex", "decimal", "uuid", "prefix",
-    "assigned", "quoted", "secret_words", "harmless_words", "harmless_path",
+    "assigned", "quoted", "url", "block", "others", "spaces", "placeholder", "secret_words", "harmless_words", "harmless_path",
 )
 
 
@@ -78,6 +90,11 @@ def with_features(rows: DataFrame) -> DataFrame:
         "prefix": flag(F.col("candidate").rlike(PREFIXES)),
         "assigned": flag(F.col("before").rlike(r"(=|:)\s*[\"'`]?$")),
         "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
+        "url": flag(F.col("before").rlike(r"://[^\s/@]*:$") & F.col("after").rlike("^@")),
+        "block": flag(F.col("candidate").rlike("^-----BEGIN ")),
+        "others": share_of(r"[^A-Za-z0-9+/_=\s-]"),
+        "spaces": share_of(r"\s"),
+        "placeholder": flag(F.col("candidate").rlike(PLACEHOLDERS)),
         "secret_words": flag(F.col("before").rlike(SECRET_WORDS)),
         "harmless_words": flag(F.col("before").rlike(HARMLESS_WORDS)),
         "harmless_path": flag(F.col("path").rlike(HARMLESS_PATHS)),
@@ -130,15 +147,40 @@ def labelled_findings(spark: SparkSession, count: int = LABELLED) -> DataFrame:
     )
     secret_before = one_of("ctx", 'token = "', 'api_key="', "password: ", "secret_key = '", 'auth_token: "', "Authorization: Bearer ", 'export ACCESS_KEY="', "client_secret=", " ")
     plain_before = one_of("ctx", "commit ", "sha256:", "checksum = ", 'id: "', "see ", "order ", " ", "the file ", 'version = "', "md5 ", 'class="', "url: ")
+    mark = one_of("mark", "!", "@", "#", "$", "&", "%", "?")
+    # Forms that only their place or their frame tells.
+    letters = F.translate(plain, "0123456789", "kQzXvRtYbN")
+    phrase = F.concat_ws(" ", F.substring(letters, 1, 5), F.lower(F.substring(letters, 6, 6)), F.lower(F.substring(letters, 12, 5)))
+    password = one_of(
+        "password", F.concat(word("a"), small, mark, F.substring(plain, 1, 2)), F.concat(F.initcap(word("a")), mark, F.substring(plain, 1, 3), small, mark),
+        F.concat(F.substring(plain, 1, 7), mark, small, F.lit("-"), word("b")), F.substring(letters, 1, 20), F.substring(plain, 1, 10), phrase,
+    )
+    block = F.concat(F.lit("-----BEGIN "), one_of("block", "RSA ", "EC ", "OPENSSH ", ""), F.lit("PRIVATE KEY-----"))
+    block = F.when(pick("body", 2) == 0, block).otherwise(F.concat(block, F.lit("\n"), coded, F.lit("\n"), F.replace(block, F.lit("BEGIN"), F.lit("END"))))
+    jwt = F.concat(F.lit("eyJ"), F.substring(plain, 1, 17), F.lit(".eyJ"), F.substring(plain, 20, 30), F.lit("."), F.substring(letters, 1, 43))
+    filler = F.concat(F.repeat(one_of("filler", "x", "X", "*", "0", "#", "a"), pick("width", 12) + 6), one_of("tail", "", "1", "1234", "99"))
+    modest = one_of(
+        "modest", word("a"), F.concat_ws(" ", word("a"), word("b"), word("c")), F.concat(F.lit("your "), word("a")), F.concat(F.lit("<"), word("a"), F.lit(">")),
+        F.concat(F.lit("${"), F.upper(word("a")), F.lit("}")), filler, F.lit("changeme"), F.lit("required"), F.concat(word("a"), F.lit("."), word("b"), F.lit("()")),
+        F.concat(word("a"), F.lit("["), word("b"), F.lit("]")), F.concat(word("a"), F.lit("_"), word("b")),
+    )
+    joined = one_of("joined", F.concat(word("a"), F.initcap(word("b")), F.initcap(word("c")), F.initcap(word("d"))), F.concat(word("a"), word("b"), word("c"), word("d"), word("e")), filler)
+    named = one_of("named", 'password = "', "password: ", 'secret: "', "passphrase = '", 'api_key = "', "pwd=", "DB_PASSWORD=", "the password is '", 'auth_token: "')
+    url = F.concat(one_of("url", "postgres", "https", "mysql", "amqp"), F.lit("://"), word("u"), F.lit(":"))
+    form, context = pick("form", 10), F.col("id") % 4 > 1
+    secret = F.when(context, F.when(form == 0, block).when(form == 1, jwt).otherwise(password)).otherwise(secret)
+    harmless = F.when(context, F.when(form < 3, joined).otherwise(modest)).otherwise(harmless)
+    secret_before = F.when(context, F.when(form == 0, F.lit("\n")).when(form == 1, F.lit("Bearer ")).when(form < 4, url).otherwise(named)).otherwise(secret_before)
+    plain_before = F.when(context, F.when(form < 3, F.lit("the ")).otherwise(named)).otherwise(plain_before)
     labelled = rows.withColumn("label", (F.col("id") % 2).cast("double")).withColumn("is", F.col("label") == 1)
     # A digest alone says nothing: only words like token make it a secret; credentials with a prefix are told without.
-    before = F.when(F.col("is") & (pick("kind", 10).isin(0, 1, 2, 7, 8)) & (secret_before == " "), F.lit('token = "')).when(F.col("is"), secret_before)
+    before = F.when(F.col("is") & ~context & (pick("kind", 10).isin(0, 1, 2, 7, 8)) & (secret_before == " "), F.lit('token = "')).when(F.col("is"), secret_before)
     labelled = labelled.select(
         "label", F.when(F.col("is"), secret).otherwise(harmless).alias("candidate"), F.concat(F.lit("some text "), before).alias("b1"),
         F.concat(F.lit("some text "), plain_before).alias("b2"), one_of("path", "src/main.py", "config/settings.yml", "app.js", "tests/test_api.py", "docs/readme.md", "src4").alias("path"),
     )
     labelled = labelled.withColumn("before", F.coalesce("b1", "b2")).drop("b1", "b2")
-    return labelled.withColumn("after", F.when(F.col("before").rlike("\"$"), '" and').when(F.col("before").rlike("'$"), "' and").otherwise(" and"))
+    return labelled.withColumn("after", F.when(F.col("before").rlike("\"$"), '" and').when(F.col("before").rlike("'$"), "' and").when(F.col("before").rlike("://[^ ]*:$"), "@host/db and").otherwise(" and"))
 
 
 def train_forest(findings: DataFrame, trees: int = 30, depth: int = 7) -> PipelineModel:
@@ -162,7 +204,8 @@ def scan(
     scored = model.transform(with_features(find_candidates(docs, id_col, text_col, path_col)))
     places = scored.withColumn("score", F.round(vector_to_array("probability")[1], 6)).groupBy("row", "id", "candidate")
     each = places.agg(F.sort_array(F.collect_list("start")).alias("starts"), F.max("score").alias("score"))
-    masked = F.concat(F.substring("candidate", 1, 4), F.lit("…"), F.length("candidate").cast("string"))
+    shown = F.least(F.lit(4), F.floor(F.length("candidate") / 4).cast("int"))
+    masked = F.concat(F.substring("candidate", F.lit(1), shown), F.lit("…"), F.length("candidate").cast("string"))
     return each.select(
         F.col("id").alias(id_col), F.col("starts")[0].alias("start"), "starts", F.length("candidate").cast("bigint").alias("length"),
         F.size("starts").cast("bigint").alias("places"), masked.alias("masked"),
