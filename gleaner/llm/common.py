@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -22,8 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table whose rows are narrow (a few dozen bytes) is broadcast.
 BROADCAST_ROWS = 500_000
 
-#: Bytes of text that a Python kernel works on at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text and rows that a Python kernel works on at once: both bound what it holds beside them.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,15 +59,30 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
-def text_slices(batch: pa.RecordBatch, column: int = 0, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds at most `limit` bytes of text, or one row."""
-    size = batch.column(column).nbytes
-    if size <= limit or batch.num_rows <= 1:
-        yield batch
-        return
-    half = batch.num_rows // 2
-    yield from text_slices(batch.slice(0, half), column, limit)
-    yield from text_slices(batch.slice(half), column, limit)
+def text_slices(batch: pa.RecordBatch, column: int = 0, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part has at most `rows` rows, and at most `limit` bytes of text or one row."""
+    for at in range(0, batch.num_rows, rows):
+        waiting = [batch.slice(at, rows)]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows <= 1 or part.column(column).nbytes <= limit:
+                yield part
+                continue
+            half = part.num_rows // 2
+            waiting += [part.slice(half), part.slice(0, half)]
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, longer by underscores until no column of the frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its plain name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def release_memory() -> None:

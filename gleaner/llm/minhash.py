@@ -13,11 +13,13 @@ group of copies never leaves in all pairs.
 Chance of losing a link at the threshold of 0.85: (1 - 0.85 ** 8) ** 44 < 1e-6.
 
 Cases: null texts and texts without words have no shingles, link with nothing and stay; a text with
-fewer words than a shingle is one shingle; of repeated rows of the smallest id one stays.
+fewer words than a shingle is one shingle; null ids are largest, and rows that repeat an id are
+documents of their own; of repeated rows of the smallest id one stays; extra columns may have any name.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,22 +28,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, materialize, small, text_slices, tidy
+from gleaner.llm.common import as_bytes, column, fresh, materialize, small, text_slices, tidy
 
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 44, 8
 #: Shingles that the permutations are applied to at once.
 CHUNK = 1 << 16
-KEPT_WORDS = 500_000
-#: Most rounds with one pivot for each bucket before all remaining pairs meet; few enough of those for
-#: each row of a bucket end the rounds early.
+#: Words whose hashes a worker keeps, and bytes of a text that are split into words at once.
+KEPT_WORDS, PIECE = 100_000, 1 << 20
+#: Most rounds with one pivot for each bucket before remaining pairs meet; few enough of those for each row of
+#: a bucket end the rounds early.  Buckets that still have more pairs a row after all rounds meet by prefixes.
 PIVOT_ROUNDS, PAIRS_PER_ROW = 4, 2000
 #: Words of 64 bits in a parity sketch.
 SKETCH = 16
 #: Sketches are broadcast up to so many rows (some 15 MB).
 SKETCH_ROWS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,16 +65,32 @@ class WordHashes(dict):
         return h
 
 
+def pieces(text: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """A text cut at white space into parts of about `size` bytes, or of one word."""
+    at = 0
+    while len(text) - at > size:
+        found = _SPACE.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def word_hashes(text: bytes, known: WordHashes) -> np.ndarray:
+    """Hashes of the words in lower case; of bytes: A-Z and ASCII white space only."""
+    found = [np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) for words in (part.lower().split() for part in pieces(text))]
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
 def shingles(texts: list[bytes], known: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts in a row, and how many each text has."""
     found, sizes = [], []
     for text in texts:
-        words = text.lower().split()  # of bytes: A-Z and ASCII white space only
-        n = len(words)
+        h = word_hashes(text, known)
+        n = len(h)
         if not n:
             sizes.append(0)
             continue
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
         width = min(n, size)
         value = np.full(n - width + 1, width, np.uint64)
         for k in range(width):
@@ -128,9 +148,15 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def one_list_each(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Rows of values as lists of the texts with shingles; null for the others."""
+    offsets = np.r_[0, np.cumsum(sizes > 0)] * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.ravel()), mask=pa.array(sizes == 0))
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, size: int) -> DataFrame:
     """Rows (id, n, digest of the set or null, keys, parity)."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     schema = f"id {source.schema['id'].dataType.simpleString()}, n bigint, digest binary, keys array<bigint>, parity array<bigint>"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +164,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, s
         for whole in batches:
             for batch in text_slices(whole, 1):
                 values, sizes = shingles(as_bytes(batch.column(1)), known, size)
-                keys = iter(band_keys(signatures(values, sizes, bands * rows // 2), bands, rows).tolist())
-                parity = iter(parities(values, sizes).tolist())
+                keys = band_keys(signatures(values, sizes, bands * rows // 2), bands, rows)
                 ends = np.cumsum(sizes)
                 digests = [
                     xxhash.xxh3_128_digest(values[b - n : b].tobytes()) if n else None
@@ -150,8 +175,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, s
                         batch.column(0),
                         pa.array(sizes),
                         pa.array(digests, pa.binary()),
-                        pa.array([next(keys) if n else None for n in sizes.tolist()], pa.list_(pa.int64())),
-                        pa.array([next(parity) if n else None for n in sizes.tolist()], pa.list_(pa.int64())),
+                        one_list_each(keys, sizes),
+                        one_list_each(parities(values, sizes), sizes),
                     ],
                     ["id", "n", "digest", "keys", "parity"],
                 )
@@ -166,7 +191,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for whole in batches:
-            for batch in text_slices(whole, 1, 1 << 20):
+            for batch in text_slices(whole, 1):
                 values, sizes = shingles(as_bytes(batch.column(1)), known, size)
                 ends = np.cumsum(sizes)
                 digests = [xxhash.xxh3_128_digest(values[b - n : b].tobytes()) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
@@ -233,6 +258,37 @@ def prefixed(df: DataFrame, prefix: str, *same: str) -> DataFrame:
     return df.select(*[F.col(c) if c in same else F.col(c).alias(prefix + c) for c in df.columns])
 
 
+def bucket_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the members (key, node, root, main, n, p0, ...) of a bucket with different roots that may be linked.
+
+    One side leaves out the bucket's largest component, main.
+    """
+    minor = prefixed(live.filter("root != main").drop("main"), "a_", "key")
+    other = prefixed(live, "b_", "key")
+    apart = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("b_main")) | (F.col("a_node") < F.col("b_node")))
+    pairs = minor.join(other, (minor["key"] == other["key"]) & apart & may_link("a_", "b_", percent))
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the nodes (node, root, n, p0, ...) with different roots that share one of their rarest shingles.
+
+    Of two linked sets each has percent of its size in common with the other, so whichever order all sets are read
+    in, they share a shingle among the first n - ceil(percent * n / 100) + 1: no link is lost, and in an order by
+    rarity what a crowded bucket has in common brings nobody together.
+    """
+    each = sets.join(live.select("node", "n"), "node").select("node", "n", F.explode("shingles").alias("shingle"))
+    each = materialize(each)
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    order = Window.partitionBy("node").orderBy("many", "shingle")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ranked = each.join(common, "shingle", "left").fillna(1, ["many"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= first)
+    kept = materialize(ranked.filter("many > 1").select("shingle", "node").join(live, "node"))
+    a, b = prefixed(kept, "a_", "shingle"), prefixed(kept, "b_", "shingle")
+    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
+    return a.join(b, (a["shingle"] == b["shingle"]) & apart & may_link("a_", "b_", percent)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
 def class_components(buckets: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Components of the nodes that share buckets (key, node): rows (node, root), or None without a link.
 
@@ -264,13 +320,13 @@ def class_components(buckets: DataFrame, facts: DataFrame, sets: DataFrame, perc
         if not left:
             break
         last = turn == PIVOT_ROUNDS or (turn > 0 and left <= PAIRS_PER_ROW * total)
-        if last:  # all members of different components; one side leaves out the bucket's largest component
-            live = materialize(members.join(state.select("key", "main"), "key").join(known, "node"))
-            minor = prefixed(live.filter("root != main").drop("main"), "a_", "key")
-            other = prefixed(live, "b_", "key")
-            apart = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("b_main")) | (F.col("a_node") < F.col("b_node")))
-            pairs = minor.join(other, (minor["key"] == other["key"]) & apart & may_link("a_", "b_", percent))
-            pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+        if last:
+            hot = (F.col("size") * F.col("size") - F.col("squares")) / 2 > PAIRS_PER_ROW * F.col("size")
+            live = materialize(members.join(state.select("key", "main", hot.alias("hot")), "key").join(known, "node"))
+            pairs = bucket_pairs(live.filter("not hot").drop("hot"), percent)
+            crowded = live.filter("hot").drop("key", "main", "hot").distinct()
+            if not crowded.isEmpty():
+                pairs = pairs.unionByName(prefix_pairs(materialize(crowded), sets, percent))
         else:
             live = members.join(state.select("key", "pivot", "pivot_root"), "key").filter("root != pivot_root")
             met = live.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
@@ -311,7 +367,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept, and digest, the 128-bit digest of its shingle set."""
     table = materialize(sketch(docs, id_col, text_col, bands, rows, size).withColumn("row_id", F.monotonically_increasing_id()))
-    classes = table.filter("n > 0").groupBy("digest").agg(F.min(F.struct("id", "row_id")).alias("first"))
+    classes = table.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_id")).alias("first"))
     classes = materialize(classes.select("digest", F.col("first.id").alias("id"), F.col("first.row_id").alias("node")))
     keys = table.select("row_id", F.explode("keys").alias("key")).join(
         classes.select(F.col("node").alias("row_id")), "row_id", "left_semi"
@@ -322,11 +378,14 @@ def near_duplicates(
     many = nodes.count()
     comp = None
     if many:
-        wanted = small(nodes.select("id").distinct(), many)
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-        # An id may stand on several texts: the digest says which one is the node's.
+        wanted = small(nodes.select(F.col("id").alias("asked")).distinct(), many)
+        texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+        texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("asked")), "left_semi")
+        # An id may stand on several texts, or be null: the digest says which one is the node's.
         found = shingle_sets(texts, size).join(small(nodes.select("digest", "node"), many), "digest").select("node", "shingles")
-        sets = materialize(found.dropDuplicates(["node"])) if has_repeats(table) else materialize(found)
+        sets = materialize(found)
+        if sets.count() != many:  # rows that repeat the id and the text
+            sets = materialize(sets.dropDuplicates(["node"]))
         sketches = [F.col("parity")[k].alias(f"p{k}") for k in range(SKETCH)]
         facts = table.join(small(nodes.select(F.col("node").alias("row_id")), many), "row_id", "left_semi")
         facts = materialize(facts.select(F.col("row_id").alias("node"), "n", *sketches))
@@ -335,8 +394,8 @@ def near_duplicates(
         roots = classes.join(comp, "node", "left").select("digest", "id", "node", F.coalesce("root", "node").alias("root"))
         roots = materialize(roots)
         names = roots.filter("node != root").select("root").distinct().join(roots, "root")
-        names = names.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best"))
-        roots = roots.join(names, "root", "left").select("digest", F.coalesce("best", F.struct("id", "node")).alias("best"))
+        names = names.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best"))
+        roots = roots.join(names, "root", "left").select("digest", F.coalesce("best", F.struct(F.col("id").isNull(), "id", "node")).alias("best"))
     else:
         roots = classes.select("digest", F.struct("id", "node").alias("best"))
     # Classes of one row need no join: only rows whose class has another row or another root are looked up.
@@ -351,28 +410,22 @@ def near_duplicates(
     )
 
 
-def has_repeats(table: DataFrame) -> bool:
-    """Whether an id is null or stands on several rows."""
-    found = table.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).first()
-    return found["n"] != found["ids"]
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """docs with one row of each group, with their own columns; rows are told apart by id, and by order if ids repeat."""
-    found = materialize(near_duplicates(docs, id_col, text_col, **options))
-    if not has_repeats(found.select(F.col(id_col).alias("id"))):
-        gone = materialize(found.filter(~F.col("kept")).select(F.col(id_col).alias("_gone")))
-        return docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
-    # Repeated ids: rows of an id with equal sets are interchangeable, so so many of them stay as were kept.
+    """docs with one row of each group, with their own columns, whatever their names."""
+    found = materialize(near_duplicates(docs, id_col, text_col, **options).select(column(id_col).alias("id"), "kept", "digest"))
+    gone_id = fresh("gone", docs)
+    gone = materialize(found.filter("not kept").select(F.col("id").alias(gone_id)))
+    dropped = gone.count()
+    shared = found.join(small(gone.distinct(), dropped), F.col("id").eqNullSafe(F.col(gone_id)), "left_semi")
+    if shared.count() == dropped:  # the ids of dropped rows, null among them, stand on no other row
+        return docs.join(small(gone, dropped), docs[f"`{id_col}`"].eqNullSafe(F.col(gone_id)), "left_anti")
+    # Rows of an id with equal sets are interchangeable, so so many of them stay as were kept.
     names = docs.columns
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    sets = sketch(keyed, "_row", text_col, 2, 2, options.get("size", SHINGLE)).select(F.col("id").alias("_row"), F.col("digest").alias("_digest"))
-    keyed = keyed.join(sets, "_row")
-    stay = found.filter("kept").groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_d")).agg(F.count(F.lit(1)).alias("_stay"))
-    order = Window.partitionBy(id_col, "_digest").orderBy("_row")
-    return (
-        keyed.withColumn("_nth", F.row_number().over(order))
-        .join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_d")))
-        .filter("_nth <= _stay")
-        .select(*names)
-    )
+    row, digest, nth, stays, stay_id, stay_digest = (fresh(x, docs) for x in ("row", "digest", "nth", "stays", "stay_id", "stay_digest"))
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    sets = sketch(keyed, row, text_col, 2, 2, options.get("size", SHINGLE)).select(F.col("id").alias(row), F.col("digest").alias(digest))
+    stay = found.filter("kept").groupBy(F.col("id").alias(stay_id), F.col("digest").alias(stay_digest)).agg(F.count(F.lit(1)).alias(stays))
+    order = Window.partitionBy(column(id_col), digest).orderBy(row)
+    same = column(id_col).eqNullSafe(F.col(stay_id)) & F.col(digest).eqNullSafe(F.col(stay_digest))
+    kept = keyed.join(sets, row).withColumn(nth, F.row_number().over(order)).join(stay, same).filter(F.col(nth) <= F.col(stays))
+    return kept.select(*map(column, names))

@@ -228,7 +228,7 @@ def pack_partitions(
 
         for whole in batches:
             kind = whole.column(0).type
-            for batch in text_slices(whole, 1):
+            for batch in text_slices(whole, 1, 4 << 20, 4096):  # larger slices have fewer distinct words a text
                 ids, sizes = coder.encode(as_bytes(batch.column(1)))
                 at = 0
                 for doc, n in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):

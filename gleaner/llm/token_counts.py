@@ -164,7 +164,7 @@ def token_counts(
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(path)
         for whole in batches:
-            for batch in text_slices(whole, 1):
+            for batch in text_slices(whole, 1, 4 << 20, 4096):  # larger slices have fewer distinct words a text
                 texts = [x or "" for x in batch.column(1).to_pylist()]
                 sizes = [len(x.encode()) for x in texts]
                 yield pa.RecordBatch.from_arrays(

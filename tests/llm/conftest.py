@@ -1,6 +1,11 @@
 import pytest
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the operators use themselves, with and without underscores, and one that needs quotes.
+CLASHING = (
+    "id row_id digest part size key chunks h gone row nth stays stay_id stay_digest own_digest copies source_key nth_own own_hash root node u doc "
+    "_gone _row _digest _nth _stay _id _d _copies _part _h _h2 _nth2 _text _source a.b"
+).split()
 LONG = "word and other words of a very long text, again. " * 4000
 
 
@@ -19,9 +24,8 @@ def odd(spark):
         (8, "ünïcödé \U0001f642 日本語 текст é \x1c   end", None, "b", 1, "x", 7),
         (None, "without an id", "en", "a", 1, "x", 7),
     ]
-    names = ", id string, row_id long, digest string, part string, size string, key string, chunks string, h string"
-    values = [(*r, "x", "x", "x", "x", "x", "x") for r in rows]
-    return spark.createDataFrame(values, COLUMNS + names)
+    values = [(*r, *["x"] * (len(CLASHING) - 2)) for r in rows]
+    return spark.createDataFrame(values, ", ".join([COLUMNS, "id string, row_id long", *[f"`{c}` string" for c in CLASHING[2:]]]))
 
 
 @pytest.fixture(scope="session")

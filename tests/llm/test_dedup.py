@@ -106,6 +106,43 @@ def test_near_groups_of_edited_copies(spark):
     assert kept == {i for i, x in expected.items() if x[2]}
 
 
+def test_crowded_buckets_meet_by_prefixes(spark, monkeypatch):
+    """Without pivots and with every bucket crowded, prefixes find the same links."""
+    monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "PAIRS_PER_ROW", 0)
+    rng = np.random.default_rng(8)
+    rows = []
+    for family in range(6):
+        base = [f"w{family}_{k}" for k in range(90)]
+        for i in range(30):
+            words = list(base)
+            for k in rng.choice(90, rng.integers(0, 6), replace=False):
+                words[k] = f"x{rng.integers(0, 300)}"
+            rows.append((10 * i + family, " ".join(words)))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found.collect()} == components(rows)
+
+
+def test_near_copies_without_an_id(spark):
+    words = [f"w{k}" for k in range(80)]
+    rows = [(None, " ".join(words)), (7, " ".join([*words[:-1], "x"])), (9, " ".join(words)), (None, "another text without an id"), (3, None)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in found) == [(0, 0, True), (0, 7, False), (3, 3, True), (7, 7, True), (9, 7, False)]
+    assert minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
+
+
+def test_long_texts_are_split_at_white_space():
+    text = b" ".join(b"w%d" % k for k in range(3000)) + b"\n\t" + b"x" * 500
+    assert [w for p in minhash.pieces(text, 64) for w in p.split()] == text.split()
+    known = minhash.WordHashes()
+    whole = minhash.shingles([text], known)
+    minhash.PIECE, kept = 64, minhash.PIECE
+    try:
+        assert (minhash.shingles([text], known)[0] == whole[0]).all()
+    finally:
+        minhash.PIECE = kept
+
+
 def test_connect_chains(spark):
     rng = np.random.default_rng(2)
     path = rng.permutation(300).tolist()
