@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, small
+from gleaner.llm.common import column, fresh, materialize, small
 
 
 def digest(text: str | Column) -> Column:
     """SHA-256 of the UTF-8 text, 32 bytes."""
-    return F.unhex(F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"), 256))
+    return F.unhex(F.sha2(F.coalesce(column(text) if isinstance(text, str) else text, F.lit("")).cast("binary"), 256))
 
 
 def merge_summaries(counts: dict[bytes, int], more: dict[bytes, int], counters: int) -> dict[bytes, int]:
@@ -91,7 +91,7 @@ def settle(rows: DataFrame, counters: int | None = None) -> DataFrame:
 
 def digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(
-        docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest")).withColumn(
+        docs.select(column(id_col).alias("id"), digest(text_col).alias("digest")).withColumn(
             "row_id", F.monotonically_increasing_id()
         )
     )
@@ -110,20 +110,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None) -> DataFrame:
-    """docs without the rows that exact_dedup drops, with their own columns."""
+    """docs without the rows that exact_dedup drops, with their own columns, whatever their names."""
     rows = digest_rows(docs, id_col, text_col)
     found = settle(rows, counters)
-    keys = rows.agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("ids"), F.countDistinct("id").alias("distinct")).first()
-    if keys["n"] == keys["distinct"]:
-        dropped = materialize(found.filter(F.col("row_id") != F.col("keep.row_id")).select(F.col("id").alias("_gone")))
-        return docs.join(small(dropped), docs[id_col] == F.col("_gone"), "left_anti")
-    # Some ids are null or repeat: rows are told apart by id and digest, and equal ones thinned to one.
-    stay = found.filter(F.col("row_id") == F.col("keep.row_id")).select(
-        F.col("id").alias("_stay"), F.col("digest").alias("_kept_digest")
-    )
-    named = docs.withColumn("_digest", digest(text_col))
-    return (
-        named.join(stay, named[id_col].eqNullSafe(F.col("_stay")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
-        .dropDuplicates([id_col, "_digest"])
-        .select(*docs.columns)
-    )
+    gone_id = fresh("gone", docs)
+    gone = materialize(found.filter(F.col("row_id") != F.col("keep.row_id")).select(F.col("id").alias(gone_id)))
+    dropped = gone.count()
+    if rows.join(small(gone.distinct(), dropped), F.col("id").eqNullSafe(F.col(gone_id)), "left_semi").count() == dropped:
+        # The ids of dropped rows, null among them, stand on no other row.
+        return docs.join(small(gone, dropped), docs[f"`{id_col}`"].eqNullSafe(F.col(gone_id)), "left_anti")
+    # Rows are told apart by id and digest, and equal ones thinned to one.
+    own, stay_id, stay_digest = (fresh(x, docs) for x in ("own_digest", "stay_id", "stay_digest"))
+    stay = found.filter(F.col("row_id") == F.col("keep.row_id")).select(F.col("id").alias(stay_id), F.col("digest").alias(stay_digest))
+    named = docs.withColumn(own, digest(text_col))
+    same = column(id_col).eqNullSafe(F.col(stay_id)) & (F.col(own) == F.col(stay_digest))
+    return named.join(stay, same, "left_semi").dropDuplicates([id_col, own]).select(*map(column, docs.columns))
