@@ -184,15 +184,11 @@ def test_near_odd(odd, empty):
 
 
 def gear_loop(text):
-    h, ends, now = 0, [], 0
-    h = 0
-    for b in bytes(substring_dedup.REACH):
-        h = (h << 1) + int(substring_dedup.GEAR[b]) & 0xFFFFFFFF
-    cuts = []
-    for k, b in enumerate(text):
-        h = (h << 1) + int(substring_dedup.GEAR[b]) & 0xFFFFFFFF
-        if h >> 32 - substring_dedup.BITS == 0 and k + 1 < len(text):
-            cuts.append(k + 1)
+    reach, cuts, now, ends, h = substring_dedup.REACH, [], 0, [], 0
+    for k, b in enumerate(bytes(reach) + text):
+        h = (h << 1) + int(substring_dedup.GEAR[b]) & (1 << reach) - 1
+        if h >> reach - substring_dedup.BITS == 0 and reach <= k < len(text) + reach - 1:
+            cuts.append(k + 1 - reach)
     for cut in [*cuts, len(text)]:
         while cut - now > substring_dedup.MOST:
             now += substring_dedup.MOST
@@ -237,8 +233,10 @@ def test_substrings_equal_brute_force(docs, texts):
         gone = [g for g in gone if any(a <= g[0] < b for a, b in spans)]
         assert [(s["start"], s["end"]) for s in r["repeats"]] == spans
         left, at = b"", 0
-        merged = substring_dedup.runs([{"start": a, "size": b - a, "gone": True} for a, b in gone], 0)
-        for a, b in (substring_dedup.whole_characters(raw[i], *g) for m in merged for g in m[2]):
+        merged = []
+        for a, b in gone:
+            merged = [*merged[:-1], (merged[-1][0], b)] if merged and merged[-1][1] == a else [*merged, (a, b)]
+        for a, b in (substring_dedup.whole_characters(raw[i], *g) for g in merged):
             left, at = left + raw[i][at:a], b
         assert r["clean_text"].encode() == left + raw[i][at:]
 
@@ -254,12 +252,56 @@ def test_planted_passages_go(spark):
     assert all(found[i]["clean_text"] == rows[i][1] for i in range(10, 40))
 
 
-def test_substrings_odd(odd, empty):
+@pytest.mark.parametrize("n", [51, 55, 60])
+def test_short_passages_are_found(spark, n):
+    """Passages of just over 50 words between different neighbours, each in two documents."""
+    rng = np.random.default_rng(n)
+    word = lambda: "".join(rng.choice(list("abcdefghijklm"), rng.integers(2, 9)))
+    some = lambda least, most: " ".join(word() for _ in range(rng.integers(least, most)))
+    rows = []
+    for k in range(200):
+        passage = " ".join(word() for _ in range(n))
+        rows += [(i, f"{some(5, 90)} {passage} {some(5, 90)}") for i in (k, 1000 + k)]
+    rows += [(5000 + k, some(60, 200)) for k in range(200)]
+    found = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[i]["has_repeats"] for i in range(200)) >= 199
+    assert sum(found[1000 + i]["removed_bytes"] > 0 for i in range(200)) >= 199
+    assert not any(r["has_repeats"] for i, r in found.items() if i >= 5000)
+
+
+@pytest.mark.parametrize("counters", [1, 20, 5000])
+def test_heavy_chunks_do_not_change_results(spark, docs, counters):
+    columns = ["doc_id", "repeat_bytes", "removed_bytes", "clean_text"]
+    some = docs.select("doc_id", "text").repartition(5)
+    found = substring_dedup.substring_dedup(some, counters=counters).select(*columns).collect()
+    assert sorted(found) == sorted(substring_dedup.substring_dedup(docs, counters=1 << 30).select(*columns).collect())
+
+
+def test_misra_gries_over_arrays():
+    rng = np.random.default_rng(9)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    everything = np.where(rng.random(20000) < 0.3, 7, rng.integers(0, 5000, 20000))
+    for part in np.split(everything, 20):
+        keys, counts = substring_dedup.merge_counts(np.r_[keys, part], np.r_[counts, np.ones(len(part), np.int64)], 9)
+        assert len(keys) <= 9
+    true = int((everything == 7).sum())
+    assert true - 20000 / 10 <= counts[keys == 7][0] <= true
+
+
+def test_substrings_odd(spark, odd, empty):
     rows = substring_dedup.substring_dedup(odd).collect()
-    assert len(rows) == 10 and all(r["n_bytes"] >= 0 for r in rows)
+    by_id = {r["doc_id"]: r for r in rows if r["doc_id"] != 5}
+    assert len(rows) == 10 and all(by_id[i]["n_bytes"] == by_id[i]["n_chunks"] == 0 and by_id[i]["clean_text"] == "" for i in (2, 3))
+    assert not by_id[4]["has_repeats"] and by_id[4]["clean_text"].startswith("word and other")  # repeats itself only
+    assert by_id[None]["clean_text"] == "without an id" and by_id[8]["clean_text"].startswith("ünïcödé")
     assert substring_dedup.substring_dedup(empty).count() == 0
     text = "é".encode()
     assert substring_dedup.whole_characters(text * 2, 1, 3) == (2, 2)
+    # Repeated rows with and without an id: the first of them stays whole.
+    same = " ".join(f"word{k}" for k in range(60))
+    found = substring_dedup.substring_dedup(spark.createDataFrame([(3, same), (3, same), (None, same)], "doc_id long, text string").coalesce(1)).collect()
+    assert [(r["doc_id"], r["removed_bytes"]) for r in found if not r["removed_bytes"]] == [(3, 0)]
+    assert sorted(r["removed_bytes"] for r in found) == [0, len(same), len(same)]
 
 
 # --- lines ---
