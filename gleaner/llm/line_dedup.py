@@ -7,6 +7,9 @@ than once in the corpus are candidates; their bytes are compared with those of t
 one of the smallest id and then the earliest, and the lines of those that are equal go.  The first place
 of a line with words always stays, as no chunk that holds it has an earlier equal.
 
+Chunks are counted by partial sums.  Digests with more than one in HOT of all chunks, at most HOT of them,
+are salted: their chunks spread over many keys, and what they are compared with is repeated for each key.
+
 Cases: null texts count as empty; a text with one line of words has no multi-line chunk and stays as it
 is, and so does a line that is repeated without a neighbour; of equal lines side by side the first stays;
 rows that share an id (or have none) are documents of their own, in table order; an empty table gives an
@@ -23,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, materialize, text_slices, tidy
+from gleaner.llm.common import as_bytes, column, materialize, text_slices, tidy
 
 #: Lines with words in a chunk.
 MOST = 2
+#: A digest is frequent with more than one in so many of all chunks; keys that it is spread over.
+HOT, SALTS = 1024, 64
 
 
 def line_chunks(lines: list[bytes]) -> list[tuple[int, int]]:
@@ -40,12 +45,12 @@ def candidates(lines: list[bytes]) -> list[tuple[int, int, bytes]]:
     return [(a, b, b"\n".join(lines[a:b])) for a, b in line_chunks(lines)]
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: id, n_lines, n_chunks, removed_chunks, removed_lines, removed, clean_text.
 
     removed: line spans of the chunks that go; neighbours share a line, and their union is what goes.
     """
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("doc"), column(text_col).alias("text"))
     counted = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("ids")).first()
     if counted["n"] == counted["ids"] and dict(rows.dtypes)["doc"] in ("tinyint", "smallint", "int", "bigint"):
         rows = rows.withColumn("id", F.col("doc").cast("bigint"))
@@ -69,14 +74,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     chunks = materialize(rows.select("id", "text").mapInArrow(tidy(digests), "id bigint, begin int, h bigint, check bigint"))
     repeated = chunks.groupBy("h", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "begin")).alias("first")).filter("n > 1")
-    flagged = chunks.join(repeated.select("h", "check", "first"), ["h", "check"]).select(
-        "id", F.struct("begin", "h", "check", (F.struct("id", "begin") == F.col("first")).alias("is_first")).alias("chunk")
+    repeated = materialize(repeated.withColumn("hot", F.col("n") * hot > chunks.count()))
+    frequent = repeated.filter("hot").select("h", "check", "hot")  # fewer than `hot` rows of fixed size
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    spread = chunks.join(F.broadcast(frequent), ["h", "check"], "left").withColumn("salt", salt).drop("hot")
+    flagged = spread.join(repeated.select("h", "check", "first", "hot", salts), ["h", "check", "salt"]).select(
+        "id", F.struct("begin", "h", "check", "salt", "hot", (F.struct("id", "begin") == F.col("first")).alias("is_first")).alias("chunk")
     )
     lists = materialize(flagged.groupBy("id").agg(F.collect_list("chunk").alias("chunks")))
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "begin", "h", "check", "is_first", "chunk"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        names = ["id", "begin", "h", "check", "salt", "hot", "is_first", "chunk"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
         for whole in batches:
             for batch in text_slices(whole, 1):
                 out = []
@@ -84,14 +94,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     at = {c["begin"]: c for c in wanted}
                     for a, _, chunk in candidates(text.split(b"\n")):
                         if c := at.get(a):
-                            out.append((doc, a, c["h"], c["check"], c["is_first"], chunk))
+                            out.append((doc, *c.values(), chunk))
                 columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    source = rows.select("id", "text").join(lists.hint("shuffle_hash"), "id")
-    texts = materialize(source.mapInArrow(tidy(texts_of), "id bigint, begin int, h bigint, check bigint, is_first boolean, chunk binary"))
-    first = texts.filter("is_first").select("h", "check", F.col("chunk").alias("bytes"))
-    gone = texts.filter("not is_first").join(first, ["h", "check"]).filter("chunk = bytes")
+    schema = "id bigint, begin int, h bigint, check bigint, salt int, hot boolean, is_first boolean, chunk binary"
+    texts = materialize(rows.select("id", "text").join(lists, "id").mapInArrow(tidy(texts_of), schema))
+    first = texts.filter("is_first").select("h", "check", F.col("chunk").alias("bytes"), salts)
+    gone = texts.filter("not is_first").join(first, ["h", "check", "salt"]).filter("chunk = bytes")
     removals = gone.groupBy("id").agg(F.collect_list("begin").alias("begins"))
     kind = rows.schema["doc"].dataType.simpleString()
     schema = (
@@ -116,5 +126,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    joined = rows.join(removals.hint("shuffle_hash"), "id", "left").select("doc", "text", "begins")
+    joined = rows.join(removals, "id", "left").select("doc", "text", "begins")
     return joined.mapInArrow(tidy(clean), schema).withColumnRenamed("doc", id_col)

@@ -361,6 +361,11 @@ def test_all_repeated_line_runs_go(docs, texts):
     assert {(r["doc_id"], k) for r in found for s in r["removed"] for k in range(s["start"], s["end"])} == repeated_runs(texts.items())
 
 
+def test_frequent_line_chunks_do_not_change_results(docs):
+    plain, salted = (sorted(line_dedup.line_dedup(docs, hot=n).select("doc_id", "removed_lines", "clean_text").collect()) for n in (1, 1 << 30))
+    assert plain == salted
+
+
 def test_blank_lines_in_runs(spark):
     rows = [(1, "a b\n\nc d\nx"), (2, "y\na b\n\nc d\n"), (3, "z\n\nc d\n"), (4, "same\nsame\nsame")]
     found = {r["doc_id"]: r["clean_text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
