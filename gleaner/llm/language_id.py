@@ -8,7 +8,10 @@ for each change of language, so spans of mixed texts get their own labels and si
 The text's language is the one whose spans hold most letters; its score is their share.
 
 Cases: `und` with score 0 for null texts, texts without a letter, and when nothing was learned; ties
-go to the language that comes first by code point; texts are labelled whole, whatever their length.
+go to the language that comes first by code point; texts are labelled whole, whatever their length; null
+and repeated ids are rows like others; extra columns may have any name.  `keep_identified` rejects what is
+`und` and what no learned language explains better than chance; mixed texts stay, and so does everything
+when nothing was learned.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, text_slices, tidy
+from gleaner.llm.common import as_bytes, column, text_slices, tidy
 
 UNDETERMINED = "und"
 #: First code points of blocks, and the script that letters from there on belong to (fixed values of Unicode).
@@ -82,6 +85,8 @@ SWITCH_PENALTY = 12.0
 #: A language is a candidate for a script that has this share of its letters in training.
 SCRIPT_SHARE = 0.001
 SMOOTHING = 0.5
+#: The log-probability of an n-gram if all buckets were alike.
+CHANCE = -float(np.log(BUCKETS))
 #: Words whose scores are kept per worker.
 KEPT_WORDS = 150_000
 #: Bytes of text that are labelled at once.
@@ -135,6 +140,11 @@ class Model:
     scores: np.ndarray | None = None
     letters: np.ndarray | None = None
 
+    @property
+    def label_kind(self) -> type:
+        """The smallest type that numbers all languages."""
+        return np.min_scalar_type(-max(1, len(self.languages)))
+
     def __getstate__(self) -> dict:
         return {k: getattr(self, k) for k in ("languages", "logp", "allowed", "penalty", "key")}
 
@@ -171,7 +181,7 @@ class Model:
 
     def paths(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """The Viterbi path of each text; texts of like length run together, a step for each word."""
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
+        out: list[np.ndarray] = [np.zeros(0, self.label_kind)] * len(texts)
         order = sorted((i for i, t in enumerate(texts) if len(t)), key=lambda i: -len(texts[i]))
         while order:
             steps = len(texts[order[0]])
@@ -181,7 +191,7 @@ class Model:
             for k, i in enumerate(block):
                 numbers[: sizes[k], k] = texts[i]
             rows = np.arange(len(block))
-            best = np.zeros((steps, len(block)), np.int8)
+            best = np.zeros((steps, len(block)), self.label_kind)
             stays = np.zeros((steps, len(block), len(self.languages)), bool)
             value = self.scores[numbers[0]].astype(np.float64)
             live = np.searchsorted(-sizes, -np.arange(steps), side="left")  # texts longer than t words
@@ -193,7 +203,7 @@ class Model:
                 keep = now >= other
                 best[t, :n], stays[t, :n] = top, keep
                 value[:n] = np.where(keep, now, other) + self.scores[numbers[t, :n]]
-            path = np.zeros((steps, len(block)), np.int8)
+            path = np.zeros((steps, len(block)), self.label_kind)
             state = value.argmax(axis=1)
             for t in range(steps - 1, -1, -1):
                 n = live[t]
@@ -204,17 +214,20 @@ class Model:
                 out[i] = path[: sizes[k], k]
         return out
 
-    def predict(self, texts: list[bytes]) -> list[tuple[str, float, list[dict]]]:
-        """Language, score and spans (start and end by word, lang) of each text."""
+    def predict(self, texts: list[bytes]) -> list[tuple[str, float, list[dict], float]]:
+        """Language, score, spans (start and end by word, lang) and fit of each text.
+
+        The fit is the mean log-probability of an n-gram along the path.
+        """
         if not self.languages:
-            return [(UNDETERMINED, 0.0, [])] * len(texts)
+            return [(UNDETERMINED, 0.0, [], 0.0)] * len(texts)
         numbers = self.look_up([t.decode().split() for t in texts])
         out = []
         for own, path in zip(numbers, self.paths(numbers), strict=True):
             sizes = self.letters[own]
             total = int(sizes.sum())
             if not total:
-                out.append((UNDETERMINED, 0.0, []))
+                out.append((UNDETERMINED, 0.0, [], 0.0))
                 continue
             held = np.bincount(path, weights=sizes, minlength=len(self.languages))
             winner = int(held.argmax())
@@ -222,7 +235,9 @@ class Model:
             spans = [
                 {"start": a, "end": b, "lang": self.languages[path[a]]} for a, b in zip(edges[:-1], edges[1:], strict=True)
             ]
-            out.append((self.languages[winner], float(held[winner]) / total, spans))
+            worded = sizes > 0  # a word of n letters and its two ends have 4 n + 2 n-grams
+            fit = float(self.scores[own[worded], path[worded]].sum(dtype=np.float64)) / (4 * total + 2 * int(worded.sum()))
+            out.append((self.languages[winner], float(held[winner]) / total, spans, fit))
         return out
 
 
@@ -234,18 +249,18 @@ def id_remainder(id_col: str | Column, parts: int = 4) -> Column:
 def train(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = TRAIN_ROWS
 ) -> Model:
-    """Learn from labelled rows: about rows_per_lang of each language, chosen by a hash of the id."""
-    rows = labelled.filter(F.col(lang_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
+    """Learn from labelled rows: about rows_per_lang of each language, chosen by a hash of the id and the text."""
+    rows = labelled.filter(column(lang_col).isNotNull()).select(
+        column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).cast("string").alias("lang")
     )
     there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(there, key=lambda x: [ord(c) for c in x])
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), {})
-    chosen = F.lit(False)
-    for lang, n in there.items():
-        part = min(1.0, rows_per_lang / n)
-        chosen |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + (part == 1.0)))
+    # A hash of 62 bits against as fine a bound: of the largest languages, too, about as many rows as asked for are read.
+    bounds = {lang: int(min(1.0, rows_per_lang / n) * (1 << 62)) for lang, n in there.items()}
+    bound = F.element_at(F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair)), F.col("lang"))
+    chosen = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 62) - 1)) < bound.cast("bigint")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {x: k for k, x in enumerate(languages)}
@@ -279,14 +294,14 @@ def train(
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score, spans."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, 1, LABELLED_BYTES):
                 found = model.predict(as_bytes(batch.column(1)))
-                columns = list(zip(*found, strict=True)) if found else [[], [], []]
+                columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], spans)],
                     ["id", "lang_pred", "score", "spans"],
@@ -296,18 +311,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(tidy(kernel), schema).withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs whose language is determined and holds at least min_score of the letters, with their own columns."""
+def keep_identified(docs: DataFrame, model: Model, least_fit: float = CHANCE, text_col: str = "text") -> DataFrame:
+    """docs with a language that explains the text better than chance, with their own columns; all if nothing was learned."""
+    if not model.languages:
+        return docs
     names = docs.columns
+    text = names.index(text_col)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # the kernel's interface takes no names that need quotes
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, names.index(text_col), LABELLED_BYTES):
-                found = model.predict(as_bytes(batch.column(names.index(text_col))))
-                yield batch.filter(pa.array([x[0] != UNDETERMINED and x[1] >= min_score for x in found], pa.bool_()))
+            for batch in text_slices(whole, text, LABELLED_BYTES):
+                found = model.predict(as_bytes(batch.column(text)))
+                yield batch.filter(pa.array([lang != UNDETERMINED and fit >= least_fit for lang, _, _, fit in found], pa.bool_()))
         _SCORED.clear()  # other stages follow in this worker
 
-    return docs.mapInArrow(tidy(kernel), docs.schema)
+    return plain.mapInArrow(tidy(kernel), plain.schema).toDF(*names)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -188,7 +188,10 @@ def test_language_odd(spark, docs, odd, empty):
     assert language_id.identify(empty, model).count() == 0
     assert language_id.keep_identified(odd, model).columns == odd.columns
     assert not {2, 3, 6, 7} & {r["doc_id"] for r in language_id.keep_identified(odd, model).collect()}
+    mixed = spark.createDataFrame([(1, "xq zzkqj wvvxk qqjzx", *["x"] * 3)], "doc_id long, text string, lang string, source string, n_chars string")
+    assert language_id.keep_identified(mixed, model).count() == 0  # no language explains it
     nothing = language_id.train(empty)
+    assert language_id.keep_identified(odd, nothing).count() == odd.count()
     assert {r["lang_pred"] for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
 
@@ -200,11 +203,47 @@ def test_scripts_and_spans(spark):
     model = language_id.train(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
     assert model.allowed["Latin"].tolist() == [False, False, True, True]
     text = latin("abcde") + " " + latin("fghij") + " 12 " + latin("fghij")
-    (lang, score, spans), (cyrillic, _, _) = model.predict([text.encode(), latin("абвгд").encode()])
+    (lang, score, spans, _), (cyrillic, *_) = model.predict([text.encode(), latin("абвгд").encode()])
     assert lang == "yy" and 0.6 < score < 0.7 and cyrillic == "ru"
     assert [(s["lang"], s["start"], s["end"]) for s in spans] == [("xx", 0, 60), ("yy", 60, 181)]
 
 
+def test_training_counts_equal_a_loop(spark, docs):
+    """Log-probabilities of n-grams from plain dictionaries; two n-grams of a bucket count together."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.filter("lang is not null").limit(30).collect()]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    bucket = lambda gram: int(language_id.ngram_buckets([gram])[0][0])
+    for number, lang in enumerate(model.languages):
+        grams = {}
+        for _, text, own in rows:
+            for word in filter(None, map(language_id.letters, text.split())) if own == lang else ():
+                found = language_id.ngram_buckets([word])[0].tolist()
+                marked = f"\x02{word}\x03"
+                assert len(found) == sum(max(0, len(marked) - n + 1) for n in language_id.SIZES)
+                for b in found:
+                    grams[b] = grams.get(b, 0) + 1
+        total = sum(grams.values()) + language_id.SMOOTHING * language_id.BUCKETS
+        expected = np.full(language_id.BUCKETS, np.log(language_id.SMOOTHING / total))
+        for b, n in grams.items():
+            expected[b] = np.log((n + language_id.SMOOTHING) / total)
+        assert np.allclose(model.logp[:, number], expected, atol=1e-4)
+    assert bucket("a") == bucket("b"[:0] + "a")
+
+
+def test_many_languages(spark):
+    rng = random.Random(12)
+    names = [f"l{k:03d}" for k in range(300)]
+    words = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4)] for x in names}
+    rows = [(k, " ".join(words[x] * 5), x) for k, x in enumerate(names)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    assert [p[0] for p in model.predict([t.encode() for _, t, _ in rows])] == names
+
+
+def test_sample_of_large_languages():
+    """The share of rows that training reads does not round to nothing."""
+    assert int(min(1.0, language_id.TRAIN_ROWS / 10**14) * (1 << 62)) > 10**7
+
+
 def test_viterbi_equals_a_loop(spark, docs):
     model = language_id.train(docs)
     texts = [r["text"] for r in docs.limit(25).collect()]
