@@ -7,11 +7,13 @@ brackets that close in on the root, over the counts of documents by source and s
 
 Rates are rounded into copies.  Each document takes the whole copies of its rate; the fractions decide
 by sequential Poisson sampling (a hash of id and text against the fraction) who takes one more, in
-order until the source's target is met.  The last such copy of a source is cut to meet it exactly.
+order until the source's target is met.  The last such copy of a source is counted by the part that meets
+it exactly; where documents are written out, that copy is a whole one or none, whichever is nearer.
 
 Cases: null and empty texts have size 0 and are never taken; a null source is a source, last in
 order; null ids hash as empty; repeated rows are documents of their own, and rows that the hash
-cannot tell apart are taken in any order, as they are alike; an empty table gives an empty result.
+cannot tell apart are taken in any order, as they are alike; extra columns may have any name; an empty
+table gives an empty result.  Should Newton's steps not end within STEPS, that is an error.
 """
 
 from __future__ import annotations
@@ -19,19 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import WORD, materialize, small
+from gleaner.llm.common import WORD, column, fresh, materialize, small
 
 WEIGHTS = (5, 2, 1)
 #: The mix's words in percent of all words, and the most copies of a document.
 PERCENT, MOST = 150, 2
 #: Newton steps, how many of them one job takes, and the relative error at which they end.
-STEPS, STEPS_A_JOB, TOLERANCE = 24, 3, 1e-9
-#: Cells of the order of extra copies: sums by cell find the one where a source meets its target.
+STEPS, STEPS_A_JOB, TOLERANCE = 60, 3, 1e-9
+#: Cells of the order of extra copies: sums by cell find the one where a source meets its target, and sums by as many
+#: parts of that cell the part; only what lies in that part, one in CELLS * CELLS or so, is put in order.
 CELLS = 4096
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(column(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
@@ -116,12 +119,23 @@ def solve(counts: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
         for _ in range(STEPS_A_JOB):
             state = newton(counts, small(state, rows), most)
         state = materialize(state)
-        if state.agg(F.max("error")).first()[0] < TOLERANCE:
+        error = state.agg(F.max("error")).first()[0]
+        if error < TOLERANCE:
             break
+    else:
+        raise ArithmeticError(f"the rates miss a target by {error:g} of it after {STEPS} steps")
     solved = state.select(F.col("source").alias("s"), "tilt")
     return known.join(small(solved, rows), known["source"].eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "mean", "tilt")
 
 
+def meeting(sums: DataFrame) -> DataFrame:
+    """Rows (source, cell, extra, rest) to (s, edge, room): the first cell up to which extra exceeds rest, and what fits in it."""
+    upto = F.sum("extra").over(Window.partitionBy("source").orderBy("cell"))
+    found = sums.withColumn("upto", upto).filter("upto > rest and upto - extra <= rest")
+    room = F.min_by(F.col("rest") - (F.col("upto") - F.col("extra")), "cell")
+    return materialize(found.groupBy(F.col("source").alias("s")).agg(F.min("cell").alias("edge"), room.alias("room")))
+
+
 def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
     """Rows (source, size, u in (0, 1], ...) with source_size, target, copies (whole ones) and part (words of a cut copy) added."""
     counts = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
@@ -132,32 +146,33 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     solved = materialize(solve(counts, materialize(aims), most))
     many = solved.count()
 
-    r = F.when(F.col("target") >= F.col("source_size") * most * (1 - 1e-12), F.lit(float(most))).when(
-        F.col("tilt").isNotNull() & (F.col("size") > 0), rate(F.col("size"), F.col("tilt"), F.col("mean"), most)
+    r = F.when(F.col("size") == 0, 0.0).when(F.col("target") >= F.col("source_size") * most * (1 - 1e-12), F.lit(float(most))).when(
+        F.col("tilt").isNotNull(), rate(F.col("size"), F.col("tilt"), F.col("mean"), most)
     ).otherwise(0.0)
     facts = small(solved.withColumnRenamed("source", "s"), many)
     rated = rows.join(facts, rows["source"].eqNullSafe(F.col("s"))).drop("s")
     rated = rated.withColumn("rate", r).withColumn("copies", F.floor("rate")).withColumn("fraction", F.col("rate") - F.col("copies"))
     place = F.when(F.col("fraction") > 0, F.col("u") / F.col("fraction"))
-    rated = rated.withColumn("place", place).withColumn("cell", F.floor(F.col("place") / (1 + F.col("place")) * CELLS))
+    order = F.col("place") / (1 + F.col("place"))
+    rated = rated.withColumn("place", place).withColumn("cell", F.floor(order * CELLS)).withColumn("fine", F.floor(order * CELLS * CELLS) - F.col("cell") * CELLS)
 
     # By source and cell: what the whole copies take, and where the extra copies meet the rest of the target.
     cells = rated.groupBy("source", "cell").agg(
-        F.sum(F.col("copies") * F.col("size")).alias("whole"), F.sum(F.when(F.col("cell").isNotNull(), F.col("size"))).alias("extra"), F.first("target").alias("target")
-    )
-    by_source = Window.partitionBy("source")
-    upto = by_source.orderBy(F.col("cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("rest", F.round("target").cast("bigint") - F.sum("whole").over(by_source)).withColumn("upto", F.coalesce(F.sum("extra").over(upto), F.lit(0)))
-    edge = cells.filter("cell is not null and upto > rest and upto - extra <= rest").select(
-        F.col("source").alias("s"), F.col("cell").alias("edge"), (F.col("rest") - (F.col("upto") - F.col("extra"))).alias("room")
+        F.sum(F.col("copies") * F.col("size")).alias("whole"), F.sum("size").alias("extra"), F.first("target").alias("target")
     )
-    edge = materialize(edge.groupBy("s").agg(F.min("edge").alias("edge"), F.min_by("room", "edge").alias("room")))
+    rest = F.round("target").cast("bigint") - F.sum("whole").over(Window.partitionBy("source"))
+    edge = meeting(cells.withColumn("rest", rest).filter("cell is not null"))
     marked = rated.join(small(edge, many), rated["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    fits = F.col("cell").isNotNull() & (F.col("edge").isNull() | (F.col("cell") < F.col("edge")))
-    sure = marked.filter("edge is null or cell is null or cell != edge").withColumn("part", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("bigint")))
+    parts = marked.filter("cell = edge").groupBy("source", F.col("fine").alias("cell")).agg(F.sum("size").alias("extra"), F.first("room").alias("rest"))
+    finer = meeting(parts).select(F.col("s"), F.col("edge").alias("fine_edge"), F.col("room").alias("fine_room"))
+    marked = marked.join(small(finer, many), marked["source"].eqNullSafe(F.col("s")), "left").drop("s")
+    fits = F.col("edge").isNull() | (F.col("cell") < F.col("edge")) | ((F.col("cell") == F.col("edge")) & (F.col("fine") < F.col("fine_edge")))
+    fits = F.col("cell").isNotNull() & fits
+    at_edge = F.coalesce((F.col("cell") == F.col("edge")) & (F.col("fine") == F.col("fine_edge")), F.lit(False))
+    sure = marked.filter(~at_edge).withColumn("part", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("bigint")))
     in_edge = Window.partitionBy("source").orderBy("place", "h", "id").rowsBetween(Window.unboundedPreceding, 0)
-    close = marked.filter("edge is not null and cell = edge").withColumn("sum", F.sum("size").over(in_edge))
-    close = close.withColumn("part", F.greatest(F.lit(0).cast("bigint"), F.least("size", F.col("room") - (F.col("sum") - F.col("size"))))).drop("sum")
+    close = marked.filter(at_edge).withColumn("sum", F.sum("size").over(in_edge))
+    close = close.withColumn("part", F.greatest(F.lit(0).cast("bigint"), F.least("size", F.col("fine_room") - (F.col("sum") - F.col("size"))))).drop("sum")
     both = sure.unionByName(close)
     full = F.col("part") == F.col("size")
     return both.withColumn("copies", F.col("copies") + F.when(full & (F.col("size") > 0), 1).otherwise(0)).withColumn(
@@ -165,11 +180,14 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     ).select(*rows.columns, "source_size", "target", "copies", "part", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
 
+def hash_of(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit(20), F.coalesce(column(id_col).cast("string"), F.lit("")), column(text_col))
+
+
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Rows (id, source, size, h, u): h is a hash of id and text, u the same in (0, 1]."""
-    hashed = F.xxhash64(F.lit(20), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
     return docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), hashed.alias("h")
+        column(id_col).alias("id"), column(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), hash_of(id_col, text_col).alias("h")
     ).withColumn("u", (F.pmod("h", F.lit(1 << 52)) + 1) / F.lit(float(1 << 52)))
 
 
@@ -191,29 +209,28 @@ def mix(
 def mixed_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: int | tuple[int, ...]
 ) -> DataFrame:
-    """docs as often as the mix takes them, with their own columns; a cut copy has the first words of its text.
+    """docs as often as the mix takes them, whole and with their own columns, whatever their names.
 
     Rows meet their copies by id and hash of id and text; rows that share both are alike, and share
     the copies of their group as each of them counts.
     """
     rows = materialize(sized(docs, id_col, text_col, source_col))
+    key, source_key, hash_key, copies, nth, own_hash, own_nth = (
+        fresh(x, docs) for x in ("key", "source_key", "hash_key", "copies", "nth", "own_hash", "own_nth")
+    )
+    whole = (F.col("copies") + F.when(2 * F.col("part") >= F.greatest("size", F.lit(1)), 1).otherwise(0)).cast("int")
     found = mix_rows(rows, **options).select(
-        F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_h"), F.col("copies").alias("_copies"), F.col("part").alias("_part")
+        F.col("id").alias(key), F.col("source").alias(source_key), F.col("h").alias(hash_key), whole.alias(copies)
     )
-    alike = Window.partitionBy("_id", "_source", "_h").orderBy("_copies", "_part")
-    found = found.filter("_copies > 0 or _part > 0").withColumn("_nth", F.row_number().over(alike))
-    names = docs.columns
-    keyed = docs.withColumn("_h2", F.xxhash64(F.lit(20), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)))
+    alike = Window.partitionBy(key, source_key, hash_key).orderBy(copies)
+    found = found.filter(F.col(copies) > 0).withColumn(nth, F.row_number().over(alike))
+    keyed = docs.withColumn(own_hash, hash_of(id_col, text_col))
     if rows.count() != rows.select("id", "source", "h").distinct().count():
-        same = Window.partitionBy(id_col, source_col, "_h2").orderBy(*[F.col(c) for c, kind in docs.dtypes if kind in ("bigint", "string", "int")])
-        keyed = keyed.withColumn("_nth2", F.row_number().over(same))
+        order = [column(c) for c, kind in docs.dtypes if kind in ("bigint", "string", "int")]
+        keyed = keyed.withColumn(own_nth, F.row_number().over(Window.partitionBy(column(id_col), column(source_col), own_hash).orderBy(*order)))
     else:
-        keyed = keyed.withColumn("_nth2", F.lit(1))
-    joined = keyed.join(
-        found,
-        F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (F.col("_nth") == F.col("_nth2")),
-    )
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), F.lit(1), F.col("_part").cast("int")), " ")
-    whole = F.array_repeat(F.col(text_col), F.col("_copies").cast("int"))
-    texts = F.when(F.col("_part") > 0, F.concat(whole, F.array(cut))).otherwise(whole)
-    return joined.withColumn("_text", F.explode(texts)).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in names])
+        keyed = keyed.withColumn(own_nth, F.lit(1))
+    same = column(id_col).eqNullSafe(F.col(key)) & column(source_col).cast("string").eqNullSafe(F.col(source_key))
+    joined = keyed.join(found, same & (F.col(own_hash) == F.col(hash_key)) & (F.col(own_nth) == F.col(nth)))
+    again = F.explode(F.sequence(F.lit(1), F.col(copies)))
+    return joined.withColumn(nth, again).select(*map(column, docs.columns))
