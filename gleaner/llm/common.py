@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,10 +94,29 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(kernel: Kernel) -> Kernel:
-    """The kernel, with its memory released when a task has ended."""
+#: What this worker keeps from one task to the next, by the name of the kernel that it is for.
+_KEPT: dict[str, Any] = {}
+
+
+def keep(name: str, value: Any) -> Any:
+    """Keep a value in this worker for later tasks of the kernel of that name."""
+    _KEPT.clear()
+    _KEPT[name] = value
+    return value
+
+
+def kept(name: str) -> Any:
+    """What is kept under a name, or None."""
+    return _KEPT.get(name)
+
+
+def tidy(kernel: Kernel, keeps: str | None = None) -> Kernel:
+    """The kernel, with its memory released when a task has ended; what the worker keeps for other kernels goes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _KEPT and keeps not in _KEPT:
+            _KEPT.clear()
+            release_memory()
         try:
             yield from kernel(batches)
         finally:

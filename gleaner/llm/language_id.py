@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, column, text_slices, tidy
+from gleaner.llm.common import as_bytes, column, keep, kept, text_slices, tidy
 
 UNDETERMINED = "und"
 #: First code points of blocks, and the script that letters from there on belong to (fixed values of Unicode).
@@ -123,10 +123,6 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(whose)
 
 
-#: The scored words of the model that this worker used last.
-_SCORED: dict[str, tuple] = {}
-
-
 @dataclass
 class Model:
     """languages in order; logp (BUCKETS, languages); allowed: script to the languages that may use it."""
@@ -151,7 +147,7 @@ class Model:
     def __setstate__(self, state: dict) -> None:
         """In a worker: take over the words that earlier tasks scored with the same model."""
         self.__dict__.update(state)
-        self.words, self.scores, self.letters = _SCORED.get(self.key, ({}, None, None))
+        self.words, self.scores, self.letters = kept(self.key) or ({}, None, None)
 
     def look_up(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Numbers of the words of each text, for `scores` and `letters`."""
@@ -175,8 +171,7 @@ class Model:
             self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
             self.scores = np.concatenate([self.scores, scores])
             self.letters = np.concatenate([self.letters, np.fromiter(map(len, own), np.int32, len(own))])
-            _SCORED.clear()
-            _SCORED[self.key] = (self.words, self.scores, self.letters)
+            keep(self.key, (self.words, self.scores, self.letters))
         return [np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)) for words in texts]
 
     def paths(self, texts: list[np.ndarray]) -> list[np.ndarray]:
@@ -308,7 +303,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 )
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>"
-    return rows.mapInArrow(tidy(kernel), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(kernel, model.key), schema).withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: Model, least_fit: float = CHANCE, text_col: str = "text") -> DataFrame:
@@ -324,9 +319,8 @@ def keep_identified(docs: DataFrame, model: Model, least_fit: float = CHANCE, te
             for batch in text_slices(whole, text, LABELLED_BYTES):
                 found = model.predict(as_bytes(batch.column(text)))
                 yield batch.filter(pa.array([lang != UNDETERMINED and fit >= least_fit for lang, _, _, fit in found], pa.bool_()))
-        _SCORED.clear()  # other stages follow in this worker
 
-    return plain.mapInArrow(tidy(kernel), plain.schema).toDF(*names)
+    return plain.mapInArrow(tidy(kernel, model.key), plain.schema).toDF(*names)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, materialize, text_slices, tidy
+from gleaner.llm.common import as_bytes, column, keep, kept, materialize, text_slices, tidy
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
@@ -150,10 +149,9 @@ class WordIds:
         return ids, np.diff(np.r_[0, upto])
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """One per worker and file."""
-    return WordIds(path)
+    """One per worker."""
+    return kept(f"ids {path}") or keep(f"ids {path}", WordIds(path))
 
 
 class OpenWindows:
@@ -204,7 +202,7 @@ def pack_partitions(
     docs: DataFrame, path: str, end_id: int, window: int, open_windows: int, id_col: str, text_col: str
 ) -> DataFrame:
     """Rows (id, *PIECE, part, ids): ids are null in closed windows; part is the partition."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, {PIECE}, part bigint, ids array<int>"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +226,7 @@ def pack_partitions(
 
         for whole in batches:
             kind = whole.column(0).type
-            for batch in text_slices(whole, 1, 4 << 20, 4096):  # larger slices have fewer distinct words a text
+            for batch in text_slices(whole, 1, 2 << 20, 2048):  # larger slices have fewer distinct words a text
                 ids, sizes = coder.encode(as_bytes(batch.column(1)))
                 at = 0
                 for doc, n in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
@@ -249,7 +247,7 @@ def pack_partitions(
         if out:
             yield flush()
 
-    return rows.mapInArrow(tidy(kernel), schema)
+    return rows.mapInArrow(tidy(kernel, f"ids {path}"), schema)
 
 
 def merge_leftovers(left: DataFrame, window: int, level: int) -> DataFrame:

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_slices, tidy
+from gleaner.llm.common import column, keep, kept, text_slices, tidy
 
 #: Fixed values of byte-level vocabularies: the split pattern, white space by its Unicode property.
 PATTERN = regex.compile(
@@ -149,17 +148,16 @@ class RankMerger:
         return total
 
 
-@lru_cache(maxsize=2)
 def merger(path: str) -> RankMerger:
-    """One per worker and file."""
-    return RankMerger(path)
+    """One per worker."""
+    return kept(f"ranks {path}") or keep(f"ranks {path}", RankMerger(path))
 
 
 def token_counts(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512
 ) -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit.  path: the tokenizer's file, the same on all executors."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(path)
@@ -172,5 +170,5 @@ def token_counts(
                     ["id", "n_bytes", "n_tokens"],
                 )
 
-    counted = rows.mapInArrow(tidy(kernel), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
+    counted = rows.mapInArrow(tidy(kernel, f"ranks {path}"), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
