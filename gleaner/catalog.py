@@ -7,7 +7,9 @@ are paragraphs.  A vector belongs to the document of its id.  Each query runs ov
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,8 +83,30 @@ def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).withColumn("chunk_id", F.concat(F.lit("doc_"), "chunk_id", F.lit("_000")))
 
 
+@lru_cache
+def _stored_index(application: str, sf: str, of: Query) -> str:
+    """The path of an index that all queries of a session share, as an index is kept between questions."""
+    return lexical.write_index(of(SparkSession.active(), sf))
+
+
+def stored(spark: SparkSession, sf: str, of: Query = doc_index) -> DataFrame:
+    """The stored index of the documents; made again if its folder is gone."""
+    for _ in range(2):
+        path = _stored_index(spark.sparkContext.applicationId, sf, of)
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            _stored_index.cache_clear()
+    raise FileNotFoundError(path)
+
+
+def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
+    """One chunk for each document as index rows."""
+    return pipeline.indexed(doc_chunks(spark, sf))
+
+
 def passage_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.bm25(passages(spark, sf), doc_index(spark, sf), 40)
+    return lexical.bm25(passages(spark, sf), stored(spark, sf), 40)
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +171,7 @@ def _branches(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with an id divisible by 100 and a vector as queries, against all."""
     asked = read(spark, sf, "documents").filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     asked = asked.join(vector_queries(spark, sf).select("query_id"), "query_id", "left_semi")
-    words = lexical.bm25(asked, doc_index(spark, sf), 40).select("query_id", F.lit("bm25").alias("branch"), F.col("chunk_id").alias("candidate_id"), "score")
+    words = lexical.bm25(asked, stored(spark, sf), 40).select("query_id", F.lit("bm25").alias("branch"), F.col("chunk_id").alias("candidate_id"), "score")
     near = dense.cosine_topk(vector_queries(spark, sf), vectors(spark, sf), 40)
     return words.unionByName(near.select("query_id", F.lit("dense").alias("branch"), F.col("chunk_id").alias("candidate_id"), "score"))
 
@@ -222,7 +246,7 @@ def rerank_deterministic(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """Passages through both branches, fusion and hybrid reranking; the passage's vector is that of the document with its id."""
     queries = vectors(spark, sf).withColumnRenamed("chunk_id", "query_id").join(passages(spark, sf).select("query_id"), "query_id", "left_semi")
-    found = pipeline.retrieve(passage_plans(spark, sf), doc_chunks(spark, sf), queries, doc_vectors(spark, sf))
+    found = pipeline.retrieve(passage_plans(spark, sf), doc_chunks(spark, sf), queries, doc_vectors(spark, sf), index=stored(spark, sf, chunk_index))
     return found.select("query_id", "chunk_id", "rerank_score", "rerank_rank", "fused_rank", F.array_join("origins", ",").alias("origins"))
 
 
@@ -519,14 +543,14 @@ def context_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ask_passages(spark: SparkSession, sf: str) -> DataFrame:
-    found = pipeline.ask(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), doc_chunks(spark, sf))
+    found = pipeline.ask(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), doc_chunks(spark, sf), index=stored(spark, sf, chunk_index))
     return found.select("query_id", "intent", "answer", F.size("sources").alias("sources"), F.array_join("unknown_labels", ",").alias("unknown_labels"), "has_citations", "skipped_generation")
 
 
 @query
 def inspector(spark: SparkSession, sf: str) -> DataFrame:
     queries = vectors(spark, sf).withColumnRenamed("chunk_id", "query_id").join(passages(spark, sf).select("query_id"), "query_id", "left_semi")
-    ranked = pipeline.retrieve(passage_plans(spark, sf), doc_chunks(spark, sf), queries, doc_vectors(spark, sf))
+    ranked = pipeline.retrieve(passage_plans(spark, sf), doc_chunks(spark, sf), queries, doc_vectors(spark, sf), index=stored(spark, sf, chunk_index))
     packed = select.pack_evidence(ranked)
     chosen, rejected = packed.filter("label is not null"), packed.filter("label is null")
     return metrics.inspect(ranked, chosen, rejected).withColumn("origins", F.array_join("origins", ","))
@@ -625,7 +649,7 @@ def repeated_trigram_share(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def lexical_only_support(spark: SparkSession, sf: str) -> DataFrame:
     queries = vectors(spark, sf).withColumnRenamed("chunk_id", "query_id").join(passages(spark, sf).select("query_id"), "query_id", "left_semi")
-    ranked = pipeline.retrieve(passage_plans(spark, sf), doc_chunks(spark, sf), queries, doc_vectors(spark, sf)).withColumn("rank", F.col("rerank_rank"))
+    ranked = pipeline.retrieve(passage_plans(spark, sf), doc_chunks(spark, sf), queries, doc_vectors(spark, sf), index=stored(spark, sf, chunk_index)).withColumn("rank", F.col("rerank_rank"))
     matches = metrics.facet_matches(ranked.select("query_id", "rank", "text"), _facets(spark, sf))
     return metrics.lexical_only_support(ranked, matches).select("query_id", "rank", "chunk_id")
 

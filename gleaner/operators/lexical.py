@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import index_tokens, terms
 from gleaner.operators.sizes import bounded
+from gleaner.sources import lineage
 
 K1, B = 1.2, 0.75
 #: Fixed values of the index: weights of title, section and body; the least inverse document frequency.
 WEIGHTS = {"title": 2.0, "section": 1.5, "body": 1.0}
 LEAST_IDF = 1e-6
+#: What a score is counted in, and parts of a stored index by token.
+UNIT, BUCKETS = 1e-12, 32
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -21,40 +26,61 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return tokens.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
 
 
-def postings(chunks: DataFrame, scope: list[str], wanted: DataFrame) -> DataFrame:
-    """Rows (*scope, chunk_id, token, freq, size) of the wanted tokens; freq is weighted by field."""
-    fields = F.array(*[F.struct(F.lit(w).alias("weight"), index_tokens(name).alias("tokens")) for name, w in WEIGHTS.items()])
-    sized = chunks.select(*scope, "chunk_id", fields.alias("fields"))
-    sized = sized.withColumn("size", F.aggregate("fields", F.lit(0), lambda acc, f: acc + F.size(f["tokens"])))
-    each = sized.select(*scope, "chunk_id", "size", F.explode("fields").alias("f")).select(
-        *scope, "chunk_id", "size", F.col("f.weight").alias("weight"), F.explode("f.tokens").alias("token")
-    )
-    # Tokens that no query has leave before anything is shuffled, if the queries are few.
-    each = each.join(bounded(wanted.select("token").distinct()), "token", "left_semi")
-    return each.groupBy(*scope, "chunk_id", "token").agg(F.sum("weight").alias("freq"), F.first("size").alias("size"))
+def bucket(token: str | Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def postings(chunks: DataFrame, scope: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, title, section, body) to the index: rows (*scope, chunk_id, token, bucket, freq, size), in one pass over the texts.
+
+    freq is weighted by field, size counts the chunk's tokens; one row with an empty token stands for the chunk itself.
+    """
+    fields = [F.struct(F.lit(w).alias("weight"), index_tokens(name).alias("tokens")) for name, w in WEIGHTS.items()]
+    own = chunks.select(*scope, "chunk_id", F.array(*fields).alias("fields"))
+    size = F.aggregate("fields", F.lit(0), lambda acc, f: acc + F.size(f["tokens"]))
+    whole = F.struct(F.lit(0.0).alias("weight"), F.array(F.lit("")).alias("tokens"))
+    each = own.select(*scope, "chunk_id", size.alias("size"), F.explode(F.concat("fields", F.array(whole))).alias("f"))
+    each = each.select(*scope, "chunk_id", "size", F.col("f.weight").alias("weight"), F.explode("f.tokens").alias("token"))
+    found = each.groupBy(*scope, "chunk_id", "token").agg(F.sum("weight").alias("freq"), F.first("size").alias("size"))
+    return found.withColumn("bucket", bucket("token"))
+
+
+def write_index(chunks: DataFrame, path: str | None = None) -> str:
+    """The index of chunks as a table, partitioned by the token's bucket; gives its path, by default a new one in the shared folder."""
+    return lineage.write(postings(chunks).repartition("bucket"), "bucket", path=path)
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame, scope: str = "corpus") -> DataFrame:
-    """(query_id, query) by (chunk_id, title, section, body) to rows (query_id, chunk_id, score): lower is better.
+    """(query_id, query) by (chunk_id, title, section, body), or their index, to rows (query_id, chunk_id, score): lower is better.
 
     scope `corpus`: statistics over all chunks.  scope `pool`: chunks carry the query_id whose pool they
-    are in, and the statistics are of that pool.  Rows without any term are not returned.
+    are in, and the statistics are of that pool.  Rows without any term are not returned.  Terms are summed as
+    whole numbers of UNIT, so that the order of summing decides nothing.
     """
     keys = {"corpus": [], "pool": ["query_id"]}[scope]
-    wanted = query_terms(queries)
-    found = postings(chunks, keys, wanted)
-    sizes = chunks.select(*keys, F.aggregate(F.array(*map(index_tokens, WEIGHTS)), F.lit(0), lambda acc, t: acc + F.size(t)).alias("size"))
-    totals = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.avg("size").alias("mean"))
+    wanted = lineage.cut(query_terms(queries))
+    index = chunks if "token" in chunks.columns else lineage.cut(postings(chunks, keys))
+    totals = index.filter((F.col("token") == "") & (F.col("bucket") == bucket_of_whole())).groupBy(*keys)
+    totals = totals.agg(F.count(F.lit(1)).alias("total"), F.avg("size").alias("mean"))
+    tokens = wanted.select("token").distinct().withColumn("bucket", bucket("token"))
+    found = index.join(bounded(tokens), ["token", "bucket"], "left_semi")
     holding = found.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("holding"))
     idf = F.log((F.col("total") - F.col("holding") + 0.5) / (F.col("holding") + 0.5))
     if keys:
         facts = holding.join(totals, keys).join(wanted, ["query_id", "token"])
     else:
         facts = holding.crossJoin(F.broadcast(totals)).join(wanted, "token")  # totals is one row
-    facts = facts.withColumn("idf", F.when(idf > 0, idf).otherwise(LEAST_IDF))
+    facts = lineage.cut(facts.withColumn("idf", F.when(idf > 0, idf).otherwise(LEAST_IDF)))
     part = F.col("idf") * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    units = F.floor(F.col("times") * part / UNIT + 0.5)
     joined = found.join(bounded(facts), [*keys, "token"])
-    return joined.groupBy("query_id", "chunk_id").agg((-F.sum(F.col("times") * part)).alias("score"))
+    return joined.groupBy("query_id", "chunk_id").agg((-F.sum(units) * UNIT).alias("score"))
+
+
+@cache
+def bucket_of_whole() -> int:
+    """The bucket of the empty token, known beforehand so that a scan for it reads one partition."""
+    return SparkSession.active().range(1).select(bucket(F.lit(""))).first()[0]
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, limit: int = 40, scope: str = "corpus") -> DataFrame:
@@ -63,8 +89,6 @@ def bm25(queries: DataFrame, chunks: DataFrame, limit: int = 40, scope: str = "c
         raise ValueError("limit must be at least 1")
     order = Window.partitionBy("query_id").orderBy("score", "chunk_id")
     scored = bm25_scores(queries, chunks, scope)
-    # Scores are compared to 12 places, so the order of summing does not decide ties.
-    scored = scored.withColumn("score", F.round("score", 12))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 

@@ -58,8 +58,8 @@ def bm25(asked: str, pool: str, pooled: bool = False) -> str:
         totals AS (SELECT {key}count(*) AS total, avg(size) AS mean FROM sized {totals}),
         holding AS (SELECT {key}token, count(*) AS holding FROM freqs GROUP BY {key}token),
         scored AS (
-            SELECT w.query_id, f.chunk_id, round(-sum(w.times * (CASE WHEN ln((t.total - h.holding + 0.5) / (h.holding + 0.5)) > 0
-                THEN ln((t.total - h.holding + 0.5) / (h.holding + 0.5)) ELSE 1e-6 END) * f.freq * 2.2 / (f.freq + 1.2 * (0.25 + 0.75 * s.size / t.mean))), 12) AS score
+            SELECT w.query_id, f.chunk_id, -sum(floor(w.times * ((CASE WHEN ln((t.total - h.holding + 0.5) / (h.holding + 0.5)) > 0
+                THEN ln((t.total - h.holding + 0.5) / (h.holding + 0.5)) ELSE 1e-6 END) * f.freq * 2.2 / (f.freq + 1.2 * (0.25 + 0.75 * s.size / t.mean))) / 1e-12 + 0.5)::BIGINT) * 1e-12 AS score
             FROM wanted w JOIN freqs f {using} JOIN holding h {using} JOIN sized s ON s.chunk_id = f.chunk_id {"AND s.query_id = f.query_id" if pooled else ""}
                 {"JOIN totals t ON t.query_id = f.query_id" if pooled else "CROSS JOIN totals t"}
             GROUP BY w.query_id, f.chunk_id

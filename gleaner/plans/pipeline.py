@@ -24,19 +24,20 @@ def indexed(chunks: DataFrame) -> DataFrame:
 
 
 def branches(
-    plans: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None, chunk_vectors: DataFrame | None, config: Config, pool: DataFrame | None = None
+    plans: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None, chunk_vectors: DataFrame | None, config: Config, pool: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (query_id, branch, candidate_id, score) of BM25 and, where there are vectors, of the dense branch.
 
     With a pool (chunks with the query_id whose search they are in) both branches stay in it, and BM25
-    has its statistics from it.
+    has its statistics from it.  index: the stored index of all chunks, if there is one.
     """
     asked = plans.select("query_id", F.col("resolved_question").alias("query"))
     if pool is not None:
-        index = pool.select("query_id", "chunk_id", F.translate("article_path", "_", " ").alias("title"), rank.headings().alias("section"), F.col("text").alias("body"))
-        found = lexical.bm25(asked, index, config.hybrid_branch_k, "pool")
+        own = pool.select("query_id", "chunk_id", F.translate("article_path", "_", " ").alias("title"), rank.headings().alias("section"), F.col("text").alias("body"))
+        found = lexical.bm25(asked, own, config.hybrid_branch_k, "pool")
     else:
-        found = lexical.bm25(asked, indexed(chunks), config.hybrid_branch_k)
+        found = lexical.bm25(asked, indexed(chunks) if index is None else index, config.hybrid_branch_k)
     found = found.select("query_id", F.lit("bm25").alias("branch"), F.col("chunk_id").alias("candidate_id"), "score")
     if query_vectors is None or chunk_vectors is None:
         return found
@@ -49,11 +50,12 @@ def branches(
 
 
 def retrieve(
-    plans: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, config: Config | None = None, pool: DataFrame | None = None
+    plans: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, config: Config | None = None, pool: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Reranked candidates of each plan, with provenance.  Without vectors BM25 alone decides; a pool limits the search."""
     cfg = config or Config()
-    rows = branches(plans, chunks, query_vectors, chunk_vectors, cfg, pool)
+    rows = branches(plans, chunks, query_vectors, chunk_vectors, cfg, pool, index)
     directions = DIRECTIONS if query_vectors is not None and chunk_vectors is not None else {"bm25": "lower"}
     fused = fusion.rrf(rows, directions, cfg.rrf_k, cfg.hybrid_branch_k, cfg.hybrid_merge_k)
     # Texts join late: ranks were settled on ids and scores alone.
@@ -93,7 +95,7 @@ def timeline_hits(ranked: DataFrame, plans: DataFrame, chunks: DataFrame, config
 
 def ask(
     questions: DataFrame, chunks: DataFrame, query_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, config: Config | None = None,
-    generator: g.Generator | None = None, output_tokens: int = 600, articles: DataFrame | None = None,
+    generator: g.Generator | None = None, output_tokens: int = 600, articles: DataFrame | None = None, index: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, question) to an answer record each: answer, sources, citation check, counts.
 
@@ -106,7 +108,7 @@ def ask(
     if cfg.retrieval_mode == "legacy" and query_vectors is not None and chunk_vectors is not None:
         ranked = retrieve_legacy(plan_rows, chunks, query_vectors, chunk_vectors, cfg)
     else:
-        ranked = retrieve(plan_rows, chunks, query_vectors, chunk_vectors, cfg, pool)
+        ranked = retrieve(plan_rows, chunks, query_vectors, chunk_vectors, cfg, pool, index)
     ranked = cut(ranked)
     events, dated = timeline_hits(ranked, plan_rows, chunks, cfg)
     events, dated = cut(events), cut(dated)

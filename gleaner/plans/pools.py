@@ -19,7 +19,7 @@ def full_text(questions: DataFrame, articles: DataFrame, limit: int) -> DataFram
     Questions on battles search for careers too, whose first result goes before all others.
     """
     asked = questions.select("query_id", discovery.full_text_query("question").alias("query"))
-    index = articles.withColumnRenamed("path", "chunk_id")
+    index = cut(lexical.postings(articles.withColumnRenamed("path", "chunk_id")))  # for both searches
     plain = lexical.bm25(asked, index, limit).select("query_id", F.col("chunk_id").alias("path"), "rank")
     battles = questions.filter(F.col("question").rlike(r"(?i)\bbattles?\b"))
     careers = battles.select("query_id", F.concat(discovery.full_text_query("question"), F.lit(" military career")).alias("query"))
