@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, fields
 
-#: Upper bounds of pools.
+#: Upper bounds of pools, choices, and below the settings with their defaults.
 CEILINGS = {
     "candidate_chunks_total": 480, "hybrid_branch_k": 40, "hybrid_merge_k": 80, "hybrid_rerank_k": 80, "hybrid_pack_k": 12, "context_token_budget": 5600,
     "history_chars": 3000,
@@ -15,7 +15,7 @@ CHOICES = {"retrieval_mode": ("hybrid", "legacy"), "rerank_backend": ("determini
 
 @dataclass(frozen=True)
 class Config:
-    """All settings of retrieval; the defaults are the values in use."""
+    """All settings of retrieval; names and defaults are fixed values."""
 
     retrieval_mode: str = "hybrid"
     rerank_backend: str = "deterministic"

@@ -51,8 +51,8 @@ def window_state(turns: DataFrame, max_turns: int = 4) -> DataFrame:
 
 def context(state: DataFrame, max_chars: int = 1800) -> DataFrame:
     """Adds the context that a memory gives to the next question: its topic and last two turns, cut from the front."""
-    head = F.substring(F.concat(F.lit("Topic: "), F.coalesce("focus", F.lit(""))), 1, min(250, max_chars))
-    lines = F.transform(F.slice("turns", F.greatest(F.lit(-2), -F.size("turns")), 2), lambda x: F.concat(F.lit("User: "), x["question"], F.lit("\nAssistant summary (unverified): "), x["answer_summary"]))
+    head = F.substring(F.concat(F.lit("Subject: "), F.coalesce("focus", F.lit(""))), 1, min(250, max_chars))
+    lines = F.transform(F.slice("turns", F.greatest(F.lit(-2), -F.size("turns")), 2), lambda x: F.concat(F.lit("Asked: "), x["question"], F.lit("\nAnswered (not checked): "), x["answer_summary"]))
     rest = F.array_join(lines, "\n")
     room = max_chars - F.length(head) - 1
     tail = F.when(F.length(rest) <= room, rest).otherwise(F.substring(rest, F.length(rest) - room + 1, room))

@@ -11,7 +11,7 @@ from gleaner.operators.sizes import bounded
 #: Words that begin and end no phrase, and titles that name nothing.
 STOPWORDS = tuple(
     "what why how when where who which did does do was were is are the a an of to in on for and or about tell me explain describe please give show create make "
-    "provide construct build list timeline chronology chronological happen happened next most immediate those that these their they them he she his her its it "
+    "provide construct build list timeline chronology chronological happen happened next most immediate those that these their they them he she his her it "
     "one latter former".split()
 )
 GENERIC_TITLES = (

@@ -19,7 +19,8 @@ from gleaner.config import Config
 MAX_GROUP = 2000
 #: The model's window, what is kept free in it, and what a chat's frame takes.
 CONTEXT_LIMIT, SAFETY_MARGIN, CHAT_OVERHEAD = 8192, 384, 128
-#: Shorter fragments of longer texts are not worth a source.
+#: The reasons in results are `selected`, `below relevance floor`, `redundant`, `article cap`, `token budget`, `selection limit`,
+#: `empty evidence`, `duplicate`, `overlap` and `lower relevance`; shorter fragments than this of longer texts are not worth a source.
 LEAST_EXCERPT = 80
 
 

@@ -76,8 +76,8 @@ def extract_events(hits: DataFrame, max_events: int = 24, bounds: bool = False)
 
 def event_hits(events: DataFrame) -> DataFrame:
     """Each event as a hit of its chunk, with its date."""
-    lead = F.when(F.col("supporting_context") != "", F.concat(F.lit("Preceding source sentence: "), "supporting_context", F.lit("\n"))).otherwise("")
-    body = F.when(F.col("heading_date"), F.concat("date_text", F.lit(" — "), "event")).otherwise(F.concat(F.lit("Dated passage: "), "event"))
+    lead = F.when(F.col("supporting_context") != "", F.concat(F.lit("Sentence before: "), "supporting_context", F.lit("\n"))).otherwise("")
+    body = F.when(F.col("heading_date"), F.concat("date_text", F.lit(" — "), "event")).otherwise(F.concat(F.lit("With date: "), "event"))
     return events.select(
         "query_id", F.col("event_no").alias("position"), "chunk_id", F.col("source_article").alias("article_path"), "section", "subsection",
         F.concat(lead, body).alias("text"), "score", "date_text", F.col("precision").alias("date_precision"), "approximate",

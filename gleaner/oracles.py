@@ -354,8 +354,8 @@ ORACLES: dict[str, str] = {
     "turn_context": f"""
         WITH {_TURNS},
         parts AS (
-            SELECT conv_id, turn_no, left('Topic: ' || focus, 250) AS head,
-                array_to_string(list_transform(turns[-2:], lambda x: 'User: ' || x.q || chr(10) || 'Assistant summary (unverified): ' || x.a), chr(10)) AS rest FROM memory
+            SELECT conv_id, turn_no, left('Subject: ' || focus, 250) AS head,
+                array_to_string(list_transform(turns[-2:], lambda x: 'Asked: ' || x.q || chr(10) || 'Answered (not checked): ' || x.a), chr(10)) AS rest FROM memory
         )
         SELECT conv_id, turn_no, head || chr(10) || right(rest, 1800 - length(head)::INT - 1) AS context FROM parts
     """,

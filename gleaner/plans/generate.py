@@ -42,10 +42,9 @@ class Extractive:
 
 def messages(question: str, context: str, kind: str, memory: str = "") -> list[dict]:
     """The system's and the user's message."""
-    parts = [f"QUESTION:\n{question}", f"ANSWER TYPE: {kind}"]
-    if memory:
-        parts.append(f"CONVERSATION CONTEXT (unverified, only for resolving references):\n{memory}")
-    return [{"role": "system", "content": SYSTEM}, {"role": "user", "content": "\n\n".join([*parts, f"EVIDENCE:\n{context}"])}]
+    said = [("earlier turns, for what words refer to and nothing else", memory)] if memory else []
+    parts = [("sources", context), *said, ("kind of answer", kind), ("question", question)]
+    return [{"role": "system", "content": SYSTEM}, {"role": "user", "content": "\n\n".join(f"<{name}>\n{text}" for name, text in parts)}]
 
 
 def prompt_tokens(question: str, context: str, kind: str, memory: str = "") -> int:

@@ -238,7 +238,7 @@ def test_events(spark):
     assert found[0]["heading_date"] and not found[2]["heading_date"]
     assert found[2]["event"].endswith("It was short.")
     texts = [r["text"] for r in timeline.event_hits(timeline.extract_events(rows)).orderBy("position").collect()]
-    assert texts[0].startswith("1618 — ") and texts[2].startswith("Dated passage: ")
+    assert texts[0].startswith("1618 — ") and texts[2].startswith("With date: ")
 
 
 def test_event_bounds_and_sampling(spark):

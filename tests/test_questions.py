@@ -2,7 +2,9 @@ import pytest
 
 from gleaner.config import Config
 from gleaner.operators import discovery
-from gleaner.plans.interpret import State, analyze, build_plan, detect_intent, extract_entities, intent, is_follow_up, leans_back, plans
+from pyspark.sql import functions as F
+
+from gleaner.plans.interpret import State, analyze, detect_intent, entities, intent, is_follow_up, leans_back, plans
 
 
 @pytest.mark.parametrize(
@@ -23,25 +25,36 @@ def test_follow_up(spark, question, follows):
     assert spark.createDataFrame([(question,)], "q string").select(is_follow_up("q")).first()[0] is follows
 
 
-def test_entities():
-    found = extract_entities("Compare the French and Russian Revolutions")
+def found_entities(spark, question, earlier=(), limit=8):
+    rows = spark.createDataFrame([(question, list(earlier))], "question string, earlier array<string>")
+    return rows.select(entities("question", F.col("earlier"), limit).alias("e")).first()["e"]
+
+
+def test_entities(spark):
+    found = found_entities(spark, "Compare the French and Russian Revolutions")
     assert [e["display_name"] for e in found if e["reason"] == "comparison subject"] == ["French Revolution", "Russian Revolution"]
-    assert [e["normalized_name"] for e in extract_entities("What was the Treaty of Westphalia?")] == ["treaty of westphalia"]
-    assert extract_entities("What was the Treaty of Westphalia?")[0]["entity_type"] == "institution_or_settlement"
-    assert [e["reason"] for e in extract_entities("why did he leave?", ["Tilly", "Wallenstein"])] == ["bounded conversation"] * 2
-    assert len(extract_entities("Alpha, Beta, Gamma, Delta", limit=2)) == 2
+    treaty = found_entities(spark, "What was the Treaty of Westphalia?")
+    assert [e["normalized_name"] for e in treaty] == ["treaty of westphalia"] and treaty[0]["entity_type"] == "institution_or_settlement"
+    assert [e["reason"] for e in found_entities(spark, "why did he leave?", ["Tilly", "Wallenstein"])] == ["bounded conversation"] * 2
+    assert len(found_entities(spark, "Alpha, Beta, Gamma, Delta", limit=2)) == 2
+    assert [(e["display_name"], e["aliases"]) for e in found_entities(spark, "Rome & Sons/rome & sons")][0] == ("Rome", [])
+    assert found_entities(spark, None) == []
 
 
 def test_plans(spark):
-    cause = build_plan("What caused the Thirty Years War?", "What caused the Thirty Years War?", "cause", Config())
-    assert cause["breadth"] == "broad" and len(cause["seed_queries"]) == 4 and cause["article_limit"] == 12
+    def one(question):
+        return plans(spark.createDataFrame([(1, question)], "query_id int, question string")).first()
+
+    cause = one("What caused the Thirty Years War?")
+    assert cause["intent"] == "cause" and cause["breadth"] == "broad" and len(cause["seed_queries"]) == 4 and cause["article_limit"] == 12
     assert cause["seed_queries"][1] == "the Thirty Years War political institutions causes"
-    both = build_plan("Compare Rome and Carthage", "Compare Rome and Carthage", "comparison", Config())
+    both = one("Compare Rome and Carthage")
     assert both["seed_queries"][1:] == ["Rome causes political social economic military", "Carthage causes political social economic military"]
-    dated = build_plan("Who ruled in 1618?", "Who ruled in 1618?", "lookup", Config())
-    assert dated["date_hints"] == ["1618"] and dated["article_limit"] == 2
-    row = plans(spark.createDataFrame([(1, "Why did Rome fall?")], "query_id int, question string")).first()
+    dated = one("Who was king in 1618?")
+    assert dated["date_hints"] == ["1618"] and dated["article_limit"] == 2 and dated["breadth"] == "narrow"
+    row = one("Why did Rome fall?")
     assert row["intent"] == "cause" and row["entities"][0]["display_name"] == "Rome"
+    assert one(None)["seed_queries"] == []
 
 
 def talked(**changes):
@@ -56,7 +69,7 @@ def test_analysis():
     state = talked()
     assert state.focus == "Thirty Years War" and state.periods == ["1618", "1648"]
     why = analyze("Why?", state)
-    assert why.is_followup and "Topic: Thirty Years War" in why.retrieval_query and "Explain the reasons behind" in why.retrieval_query
+    assert why.is_followup and "Thirty Years War" in why.retrieval_query and "It ran from 1618 to 1648" in why.retrieval_query
     after = analyze("What happened next?", state)
     assert after.effective_type == "timeline" and after.anchor_year == 1618
     unclear = talked(ambiguous_topics=["Siege", "Peace"])
