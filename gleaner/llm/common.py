@@ -14,6 +14,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -26,6 +27,10 @@ BROADCAST_ROWS = 500_000
 #: Bytes of text and rows that a Python kernel works on at once: both bound what it holds beside them.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 512
 
+#: Rows of the Arrow batches that go to a kernel: JVM and worker hold a few batches each, of whole texts.
+BATCH_ROWS = 1024
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -125,6 +130,14 @@ def tidy(kernel: Kernel, keeps: str | None = None) -> Kernel:
     return run
 
 
+def map_arrow(df: DataFrame, kernel: Kernel, schema: str | StructType, keeps: str | None = None) -> DataFrame:
+    """df through a tidy kernel, in batches of BATCH_ROWS unless the session's setting is another than Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCHES, "10000") == "10000":
+        conf.set(_BATCHES, str(BATCH_ROWS))
+    return df.mapInArrow(tidy(kernel, keeps), schema)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import column, fresh, materialize, small
+from gleaner.llm.common import column, fresh, materialize, small, tidy
 
 
 def digest(text: str | Column) -> Column:
@@ -49,7 +49,7 @@ def summaries(keys: DataFrame, counters: int) -> DataFrame:
             [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["digest", "n"]
         )
 
-    return keys.mapInArrow(kernel, "digest binary, n bigint")
+    return keys.mapInArrow(tidy(kernel), "digest binary, n bigint")
 
 
 def heavy_hitters(rows: DataFrame, total: int, counters: int) -> DataFrame:

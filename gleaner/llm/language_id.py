@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, column, keep, kept, text_slices, tidy
+from gleaner.llm.common import as_bytes, column, keep, kept, map_arrow, text_slices
 
 UNDETERMINED = "und"
 #: First code points of blocks, and the script that letters from there on belong to (fixed values of Unicode).
@@ -275,7 +275,7 @@ def train(
             ["lang", "bucket", "n"],
         )
 
-    partial = rows.filter(chosen).select("text", "lang").mapInArrow(tidy(kernel), "lang int, bucket int, n bigint")
+    partial = map_arrow(rows.filter(chosen).select("text", "lang"), kernel, "lang int, bucket int, n bigint")
     # At most BUCKETS and the scripts for each language.
     summed = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS + len(SCRIPTS)))
@@ -303,7 +303,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 )
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>"
-    return rows.mapInArrow(tidy(kernel, model.key), schema).withColumnRenamed("id", id_col)
+    return map_arrow(rows, kernel, schema, model.key).withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: Model, least_fit: float = CHANCE, text_col: str = "text") -> DataFrame:
@@ -320,7 +320,7 @@ def keep_identified(docs: DataFrame, model: Model, least_fit: float = CHANCE, te
                 found = model.predict(as_bytes(batch.column(text)))
                 yield batch.filter(pa.array([lang != UNDETERMINED and fit >= least_fit for lang, _, _, fit in found], pa.bool_()))
 
-    return plain.mapInArrow(tidy(kernel, model.key), plain.schema).toDF(*names)
+    return map_arrow(plain, kernel, plain.schema, model.key).toDF(*names)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

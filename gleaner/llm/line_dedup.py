@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, column, materialize, text_slices, tidy
+from gleaner.llm.common import as_bytes, column, map_arrow, materialize, text_slices
 
 #: Lines with words in a chunk.
 MOST = 2
@@ -72,7 +72,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ["id", "begin", "h", "check"],
                 )
 
-    chunks = materialize(rows.select("id", "text").mapInArrow(tidy(digests), "id bigint, begin int, h bigint, check bigint"))
+    chunks = materialize(map_arrow(rows.select("id", "text"), digests, "id bigint, begin int, h bigint, check bigint"))
     repeated = chunks.groupBy("h", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "begin")).alias("first")).filter("n > 1")
     repeated = materialize(repeated.withColumn("hot", F.col("n") * hot > chunks.count()))
     frequent = repeated.filter("hot").select("h", "check", "hot")  # fewer than `hot` rows of fixed size
@@ -99,7 +99,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = "id bigint, begin int, h bigint, check bigint, salt int, hot boolean, is_first boolean, chunk binary"
-    texts = materialize(rows.select("id", "text").join(lists, "id").mapInArrow(tidy(texts_of), schema))
+    texts = materialize(map_arrow(rows.select("id", "text").join(lists, "id"), texts_of, schema))
     first = texts.filter("is_first").select("h", "check", F.col("chunk").alias("bytes"), salts)
     gone = texts.filter("not is_first").join(first, ["h", "check", "salt"]).filter("chunk = bytes")
     removals = gone.groupBy("id").agg(F.collect_list("begin").alias("begins"))
@@ -127,4 +127,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     joined = rows.join(removals, "id", "left").select("doc", "text", "begins")
-    return joined.mapInArrow(tidy(clean), schema).withColumnRenamed("doc", id_col)
+    return map_arrow(joined, clean, schema).withColumnRenamed("doc", id_col)

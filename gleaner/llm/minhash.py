@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, column, fresh, materialize, small, text_slices, tidy
+from gleaner.llm.common import as_bytes, column, fresh, map_arrow, materialize, small, text_slices
 
 SHINGLE = 5
 PERCENT = 85
@@ -181,7 +181,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, s
                     ["id", "n", "digest", "keys", "parity"],
                 )
 
-    return source.mapInArrow(tidy(kernel), schema)
+    return map_arrow(source, kernel, schema)
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -198,7 +198,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), lists], ["id", "digest", "shingles"])
 
-    return docs.mapInArrow(tidy(kernel), schema)
+    return map_arrow(docs, kernel, schema)
 
 
 def connect(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, column, keep, kept, materialize, text_slices, tidy
+from gleaner.llm.common import as_bytes, column, keep, kept, map_arrow, materialize, text_slices
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
@@ -36,7 +36,7 @@ WORD_END = "</w>"
 #: New words that are encoded in one call.
 JOINED = 256
 #: Words, and cores of words with their ids, that are kept per worker.
-KEPT_WORDS, KEPT_CORES = 400_000, 600_000
+KEPT_WORDS, KEPT_CORES = 200_000, 500_000
 
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -247,7 +247,7 @@ def pack_partitions(
         if out:
             yield flush()
 
-    return rows.mapInArrow(tidy(kernel, f"ids {path}"), schema)
+    return map_arrow(rows, kernel, schema, f"ids {path}")
 
 
 def merge_leftovers(left: DataFrame, window: int, level: int) -> DataFrame:

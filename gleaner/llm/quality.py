@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_slices, tidy
+from gleaner.llm.common import map_arrow, text_slices
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -157,7 +157,7 @@ def quality_rules(
                 arrays = [batch.column(0)] + [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays[: len(names)], names)
 
-    measured = rows.mapInArrow(tidy(kernel), schema)
+    measured = map_arrow(rows, kernel, schema)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return measured.select(
         F.col("id").alias(id_col),

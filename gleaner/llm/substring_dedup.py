@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, column, materialize, text_slices, tidy
+from gleaner.llm.common import as_bytes, column, map_arrow, materialize, text_slices
 from gleaner.llm.minhash import mix
 
 #: Least and most bytes of a chunk (below 256), and how many high bits of the hash are zero at its end.
@@ -102,7 +102,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 owner = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), owner, pa.array(start)], ["h", "check", "id", "start"])
 
-    return docs.mapInArrow(tidy(kernel), "h bigint, check int, id bigint, start int")
+    return map_arrow(docs, kernel, "h bigint, check int, id bigint, start int")
 
 
 def merge_counts(keys: np.ndarray, counts: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def heavy_digests(docs: DataFrame, counters: int) -> DataFrame:
         names = pa.array([None, *keys.tolist()], pa.int64())  # null: all chunks
         yield pa.RecordBatch.from_arrays([names, pa.array(np.r_[total, counts].astype(np.int64))], ["h", "n"])
 
-    summed = materialize(docs.mapInArrow(tidy(kernel), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+    summed = materialize(map_arrow(docs, kernel, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     total = (summed.filter("h is null").first() or {"n": 0})["n"]
     return summed.filter("h is not null and n > 1").filter(F.col("n") * F.lit(counters + 1) >= F.lit(total)).select("h")
 
@@ -228,4 +228,4 @@ def substring_dedup(
                 columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return joined.mapInArrow(tidy(kernel), schema).withColumnRenamed("doc", id_col)
+    return map_arrow(joined, kernel, schema).withColumnRenamed("doc", id_col)

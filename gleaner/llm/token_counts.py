@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import column, keep, kept, text_slices, tidy
+from gleaner.llm.common import column, keep, kept, map_arrow, text_slices
 
 #: Fixed values of byte-level vocabularies: the split pattern, white space by its Unicode property.
 PATTERN = regex.compile(
@@ -170,5 +170,5 @@ def token_counts(
                     ["id", "n_bytes", "n_tokens"],
                 )
 
-    counted = rows.mapInArrow(tidy(kernel, f"ranks {path}"), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
+    counted = map_arrow(rows, kernel, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint", f"ranks {path}")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
