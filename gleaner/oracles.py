@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from gleaner.operators import discovery, rank
+from gleaner.plans import interpret
+
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+')"
 _STOPS = "['the','of','a','and','to','in','what','why']"
 
@@ -23,6 +26,111 @@ def trigrams(c: str) -> str:
     return f"list_distinct(CASE WHEN len({w}) >= 3 THEN list_transform(range(1, len({w}) - 1), lambda i: array_to_string({w}[i:i+2], ' ')) ELSE {w} END)"
 
 
+#: CTE: the runs of three words of the lists w of a table, or its words if there are fewer than three.
+_GRAMS = """each_word AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM {0}),
+        grams AS (
+            SELECT doc_id, CASE WHEN n < 3 THEN word ELSE word || ' ' || second || ' ' || third END AS gram
+            FROM (SELECT *, lead(word) OVER w AS second, lead(word, 2) OVER w AS third FROM each_word WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE n < 3 OR third IS NOT NULL
+        )"""
+#: A word character, and what is none, as Unicode has it.
+_W, _NOT_W = r"[\p{L}\p{M}\p{N}\p{Pc}]", r"[^\p{L}\p{M}\p{N}\p{Pc} ]"
+
+
+def title_key(c: str) -> str:
+    return f"trim(regexp_replace(lower(replace({c}, '_', ' ')), '{_NOT_W}', '', 'g'))"
+
+
+def entity_key(c: str) -> str:
+    plain = rf"regexp_replace(translate({c}, '_’', ' ' || chr(39)), '\s*\([^)]{{1,60}}\)\s*$', '')"
+    return rf"lower(trim(regexp_replace(regexp_replace({plain}, '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\-'' ]+', ' ', 'g'), '\s+', ' ', 'g')))"
+
+
+def haystack(c: str) -> str:
+    return rf"regexp_replace(lower({c}), '[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}} ]+', ' ', 'g')"
+
+
+def sql_list(values) -> str:  # noqa: ANN001
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def intent(q: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches(lower({q}), '{pattern}') THEN '{name}'" for name, pattern in interpret.INTENTS)
+    return f"CASE {cases} ELSE 'general' END"
+
+
+def plan(source: str) -> str:
+    """CTEs up to `plan` (query_id, intent, broad, subject, seeds, names, hints, article_limit) of (query_id, question); for questions without a plural of two."""
+    run = rf"[A-Z](?:{_W}|[''’-])*(?:\s+(?:of|the|and|de|von|[A-Z](?:{_W}|[''’-])*)){{0,6}}"
+    generic, phrases = sql_list(sorted(interpret.GENERIC)), sql_list(sorted(interpret.GENERIC_PHRASES))
+    cause = ", ".join(f"subject || ' {x}'" for x in interpret.CAUSE_SEEDS)
+    wide = ", ".join(f"subject || ' {x}'" for x in interpret.BROAD_SEEDS)
+    return rf"""
+        questions AS ({source}),
+        named AS (
+            SELECT query_id, 1 AS stage, unnest(runs) AS name, generate_subscripts(runs, 1) AS place FROM (
+                SELECT query_id, list_filter(list_transform(list_transform(regexp_extract_all(question, '(?:^|{_NOT_W.replace(" ]", "]")})({run})', 1), lambda r: regexp_split_to_array(r, '\s+')),
+                    lambda p: array_to_string(p[coalesce(nullif(list_position(list_transform(p, lambda w: NOT list_contains({generic}, w)), true), 0), len(p) + 1):], ' ')), lambda x: x != '') AS runs
+                FROM questions
+            )
+            UNION ALL
+            SELECT query_id, 2, unnest(sides), generate_subscripts(sides, 1) FROM (
+                SELECT query_id, list_filter(list_transform(regexp_split_to_array(question, '[/;]'), lambda x: trim(x, ' ?!.,')),
+                    lambda x: regexp_matches(x, '^\p{{Lu}}') AND len(regexp_split_to_array(x, '\s+')) <= 5) AS sides FROM questions
+            )
+        ),
+        keyed AS (SELECT *, {entity_key('name')} AS key FROM named),
+        firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY stage, place) AS k FROM keyed WHERE length(key) >= 3 AND NOT list_contains({phrases}, key)) WHERE k = 1),
+        entities AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, place) AS no FROM firsts) WHERE no <= 8),
+        found_names AS (SELECT query_id, list(name ORDER BY no) AS names, list(key ORDER BY no) AS keys FROM entities GROUP BY query_id),
+        read_plan AS (
+            SELECT query_id, question, trim(question) AS resolved, {intent('question')} AS intent,
+                left(trim(regexp_replace(question, '(?i){interpret.OPENING}', ''), ' ?!.,'), 220) AS subject
+            FROM questions
+        ),
+        broad_plan AS (SELECT *, intent IN ('cause', 'comparison', 'timeline') OR regexp_matches(resolved, '(?i){interpret.BROAD}') AS broad FROM read_plan),
+        plan AS (
+            SELECT query_id, question, resolved, intent, broad, subject, CASE WHEN broad THEN 12 ELSE 2 END AS article_limit, coalesce(names, []) AS names, coalesce(keys, []) AS keys,
+                list_transform(list_sort(list_transform(list_distinct(all_seeds), lambda x: {{'at': list_position(all_seeds, x), 'x': x}})), lambda y: y.x)[:4] AS seeds,
+                list_distinct(regexp_extract_all(resolved, '(?i){interpret.DATE_HINT}'))[:8] AS hints
+            FROM (
+                SELECT *, list_filter(list_concat([resolved], CASE
+                    WHEN intent = 'cause' THEN [{cause}]
+                    WHEN intent = 'comparison' THEN list_transform(list_filter(list_transform(
+                        regexp_split_to_array(regexp_replace(regexp_replace(subject, '(?i)^compare\s+', ''), '(?i)\s+(?:and|versus|vs\.?)\s+', chr(1)), chr(1)), lambda x: trim(x, ' ?!.,')),
+                        lambda x: x != ''), lambda x: x || ' {interpret.COMPARISON_SEED}')
+                    WHEN broad THEN [{wide}] ELSE [] END), lambda x: trim(x) != '') AS all_seeds
+                FROM broad_plan
+            ) LEFT JOIN found_names USING (query_id)
+        )"""
+
+
+def features(cands: str) -> str:
+    """CTEs up to `reranked` of candidates (query_id, chunk_id, article_path, section, text, score) and `plan`: features and rerank_score before the order."""
+    weights = {"semantic": "semantic", "lexical": "lexical", "title": "title", "section": "in_section", "entity": "entity", "date": "dated", "direct": "0.35::DOUBLE", "completeness": "completeness", "low_value": "low_value", "topic_conflict": "conflict"}
+    total = "0.0::DOUBLE" + "".join(f" + {w}::DOUBLE * {weights[k]}" for k, w in rank.WEIGHTS.items())
+    density = rf"CASE WHEN len(allw) < 18 THEN 0.1::DOUBLE ELSE least(1.0::DOUBLE, 0.35::DOUBLE + len(regexp_extract_all(text, '[.!?](?:\s|$)')) * 0.12::DOUBLE + least(len(allw), 160) / 400.0::DOUBLE) END"
+    return rf"""
+        worded AS (
+            SELECT c.*, p.names, p.keys, p.hints, p.intent, p.resolved, {words("array_to_string(p.seeds, ' ')")} AS qw, {words('c.text')} AS tw, {words("replace(c.article_path, '_', ' ')")} AS aw,
+                {words('c.section')} AS hw, {all_words('c.text')} AS allw, {haystack("concat_ws(' ', replace(c.article_path, '_', ' '), c.section, c.text)")} AS hay
+            FROM {cands} c JOIN plan p USING (query_id)
+        ),
+        measured AS (
+            SELECT *, list_distinct(list_concat(list_concat(tw, aw), hw)) AS everything, max(score) OVER w AS high, min(score) OVER w AS low FROM worded WINDOW w AS (PARTITION BY query_id)
+        ),
+        scored_features AS (
+            SELECT *, CASE WHEN abs(high - low) <= 1e-9 * greatest(abs(low), abs(high)) THEN 0.5::DOUBLE ELSE (score - low) / (high - low) END AS semantic,
+                {overlap('qw', 'everything')} AS lexical, {overlap('aw', 'qw')} AS title, {overlap('hw', 'qw')} AS in_section,
+                CASE WHEN len(names) = 0 THEN 0.5::DOUBLE ELSE list_max(list_transform(names, lambda n: CASE WHEN contains(hay, {haystack('n')}) THEN 1.0::DOUBLE
+                    ELSE 0.35::DOUBLE * {overlap(words('n'), 'everything')} END)) END AS entity,
+                CASE WHEN len(hints) = 0 THEN 0.5::DOUBLE ELSE (len(list_filter(hints, lambda h: contains(lower(section || ' ' || text), lower(h))) ) > 0)::INT::DOUBLE END AS dated,
+                {density} AS completeness, coalesce(regexp_matches(trim(section), '{rank.LOW_VALUE}'), false)::INT::DOUBLE AS low_value,
+                (list_contains(qw, 'republic') AND list_contains(aw, 'empire') AND NOT list_contains(aw, 'republic'))::INT::DOUBLE AS conflict
+            FROM measured
+        ),
+        reranked AS (SELECT *, round({total}, 8) AS rerank_score FROM scored_features)"""
+
+
 def overlap(a: str, b: str) -> str:
     return f"(len(list_intersect({a}, {b})) / greatest(1, len({a})))"
 
@@ -217,13 +325,23 @@ ORACLES: dict[str, str] = {
     """,
     "token_estimate": "SELECT doc_id, ceil(strlen(coalesce(text, '')) / 3.0)::BIGINT AS tokens FROM documents",
     "text_words": rf"""
-        SELECT doc_id, len({words('text')})::INT AS n_words, least(96, len(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+'))))::INT AS n_terms,
-            len({tokens('text')})::INT AS n_tokens, md5(array_to_string({all_words('text')}, ' ')) AS normalized_md5, len({trigrams('text')})::INT AS n_trigrams
-        FROM documents
+        WITH lists AS (
+            SELECT doc_id, {all_words('text')} AS w, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+') AS terms, len({tokens('text')}) AS n_tokens FROM documents
+        ),
+        {_GRAMS.format("lists")},
+        counted AS (SELECT doc_id, count(DISTINCT gram) AS n_trigrams FROM grams GROUP BY doc_id)
+        SELECT doc_id, len(list_filter(list_distinct(w), lambda x: NOT list_contains({_STOPS}, x)))::INT AS n_words, least(96, len(list_distinct(terms)))::INT AS n_terms,
+            n_tokens::INT AS n_tokens, md5(array_to_string(w, ' ')) AS normalized_md5, coalesce(n_trigrams, 0)::INT AS n_trigrams
+        FROM lists LEFT JOIN counted USING (doc_id)
     """,
     "trigram_redundancy": f"""
-        WITH grams AS (SELECT doc_id, {trigrams('text')} AS g FROM documents)
-        SELECT a.doc_id, round(len(list_intersect(a.g, b.g)) / greatest(1, len(list_distinct(list_concat(a.g, b.g)))), 8) AS redundancy FROM grams a JOIN grams b ON b.doc_id = a.doc_id + 1
+        WITH lists AS (SELECT doc_id, {all_words('text')} AS w FROM documents),
+        {_GRAMS.format("lists")},
+        sets AS (SELECT DISTINCT doc_id, gram FROM grams),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        common AS (SELECT a.doc_id, count(*) AS n FROM sets a JOIN sets b ON b.doc_id = a.doc_id + 1 AND b.gram = a.gram GROUP BY a.doc_id)
+        SELECT d.doc_id, round(coalesce(c.n, 0) / greatest(1, coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(c.n, 0)), 8) AS redundancy
+        FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 LEFT JOIN common c ON c.doc_id = d.doc_id LEFT JOIN sizes x ON x.doc_id = d.doc_id LEFT JOIN sizes y ON y.doc_id = e.doc_id
     """,
     "paragraph_dedup": r"""
         WITH hits AS (SELECT source AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position, text FROM documents),
@@ -370,6 +488,197 @@ ORACLES: dict[str, str] = {
         FROM ids WHERE contains(lower('Conversation ' || conv_id), 'conversation 1')
     """,
 }
+_QUESTIONS = "SELECT conv_id * 1000 + turn AS query_id, text AS question FROM conversations WHERE role = 'user'"
+_PASSAGE_PLANS = plan("SELECT item_id AS query_id, text AS question FROM benchmark")
+_RERANKED = f"""{_CANDIDATES}, {_PASSAGE_PLANS},
+        own_cands AS (SELECT query_id, chunk_id, article_path, section, text, score, rank FROM cands), {features('own_cands')},
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, article_path, chunk_id) AS rerank_rank FROM reranked)"""
+ORACLES |= {
+    "question_plans": f"""
+        WITH {plan(_QUESTIONS)}
+        SELECT query_id, intent, CASE WHEN broad THEN 'broad' ELSE 'narrow' END AS breadth, array_to_string(seeds, '|') AS seeds, len(names)::INT AS entities, article_limit::INT AS article_limit FROM plan
+    """,
+    "seed_queries": f"WITH {plan(_QUESTIONS)} SELECT query_id, (generate_subscripts(seeds, 1) - 1)::INT AS seed_no, unnest(seeds) AS query FROM plan",
+    "rerank_deterministic": f"""
+        WITH {_RERANKED} SELECT query_id, chunk_id, rerank_score, rerank_rank::INT AS rerank_rank, round(lexical, 8) AS lexical, round(title, 8) AS title FROM ordered
+    """,
+    "timeline_pool": f"""
+        WITH {_RERANKED},
+        good AS (SELECT *, row_number() OVER (PARTITION BY query_id, article_path, section ORDER BY chunk_id) = 1 AS opens FROM ordered WHERE rerank_score >= 0.1)
+        SELECT query_id, position::INT AS position, chunk_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN opens THEN 1 ELSE 2 END, rerank_score DESC, chunk_id) AS position FROM good) WHERE position <= 32
+    """,
+    "text_keys": rf"""
+        SELECT page_id, {title_key('url')} AS title_key, {entity_key('url')} AS entity_key,
+            CASE WHEN trim(name) = '' THEN 'conversation' ELSE trim(name) END || '.md' AS export_name, trim(translate(url, chr(10) || chr(13), ' ')) AS single_line
+        FROM (SELECT *, left(trim(regexp_replace(url, '[^\p{{L}}\p{{N}} _-]', '-', 'g')), 80) AS name FROM pages)
+    """,
+    "preview_excerpt": r"""
+        WITH squeezed AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+        clipped AS (SELECT *, left(t, 281) AS c, reverse(left(t, 281)) AS r, length(left(t, 281)) AS n FROM squeezed),
+        marks AS (
+            SELECT *, greatest(CASE WHEN contains(r, ' .') THEN n - strpos(r, ' .') - 1 ELSE -1 END, CASE WHEN contains(r, ' ?') THEN n - strpos(r, ' ?') - 1 ELSE -1 END,
+                CASE WHEN contains(r, ' !') THEN n - strpos(r, ' !') - 1 ELSE -1 END) AS sentence, CASE WHEN contains(r, ' ') THEN n - strpos(r, ' ') ELSE -1 END AS word
+            FROM clipped
+        )
+        SELECT doc_id, CASE WHEN t = '' THEN NULL WHEN length(t) <= 280 THEN t
+            ELSE CASE WHEN sentence >= 140 THEN left(c, sentence + 1) ELSE rtrim(left(c, CASE WHEN word >= 80 THEN word ELSE 280 END)) END || '…' END AS preview
+        FROM marks
+    """,
+    "sentence_trim": r"""
+        WITH clipped AS (SELECT doc_id, text, left(text, 502) AS c FROM documents),
+        ends AS (
+            SELECT doc_id, max(n) AS n FROM (SELECT doc_id, c, unnest(range(1, 501)) AS n FROM clipped)
+            WHERE substr(c, n, 1) IN ('.', '!', '?') AND (n = length(c) OR regexp_matches(substr(c, n + 1, 1), '\s')) AND ceil(strlen(left(c, n)) / 3.0) <= 200 GROUP BY doc_id
+        )
+        SELECT doc_id, CASE WHEN length(text) <= 500 AND ceil(strlen(text) / 3.0) <= 200 THEN text ELSE coalesce(rtrim(left(text, n), ' '), '') END AS excerpt FROM clipped LEFT JOIN ends USING (doc_id)
+    """,
+    "embedding_texts": """
+        SELECT 'doc_' || doc_id || '_000' AS chunk_id, md5(coalesce(text, '')) AS text, md5(concat_ws(chr(10) || chr(10), 'Introduction', text)) AS section,
+            md5(concat_ws(chr(10) || chr(10), 'doc ' || doc_id || ' > Introduction', text)) AS title FROM documents
+    """,
+    "path_validation": r"""
+        WITH p AS (SELECT page_id, url, regexp_extract(url, '^\w+://[^/]+/(.*)$', 1) AS rest FROM pages)
+        SELECT page_id, url != '' AND NOT regexp_matches(url, '^/|\\|[\x00-\x1f]|(^|/)\.\.?(/|$)') AS whole, rest != '' AND NOT regexp_matches(rest, '^/|\\|[\x00-\x1f]|(^|/)\.\.?(/|$)') AS inside FROM p
+    """,
+    "title_search": f"""
+        WITH titles AS (SELECT p_name || '_' || p_partkey AS path, {title_key("p_name || '_' || p_partkey")} AS key FROM part),
+        asked AS (SELECT p_partkey AS query_id, {title_key('p_name')} AS wanted FROM part WHERE p_partkey % 100 = 0),
+        by_word AS (SELECT path, key, unnest(list_distinct(string_split(key, ' '))) AS word FROM titles),
+        by_asked AS (SELECT query_id, wanted, unnest(list_distinct(string_split(wanted, ' '))) AS word FROM asked),
+        shared AS (SELECT query_id, path, count(*) AS shared, any_value(key) AS key, any_value(wanted) AS wanted FROM by_word JOIN by_asked USING (word) GROUP BY query_id, path),
+        tiers AS (SELECT *, CASE WHEN key = wanted THEN 0 WHEN starts_with(key, wanted) THEN 1 ELSE 2 END AS tier FROM shared)
+        SELECT query_id, path, tier::INT AS tier, shared, rank::INT AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, shared DESC, length(key), path) AS rank FROM tiers) WHERE rank <= 5
+    """,
+    "candidate_identity": """
+        SELECT 'doc_' || doc_id || '_000' AS chunk_id, sha256('["corpus-1","chunker-1","doc_' || doc_id || '","Introduction",null,null,null,' || to_json(text) || ']') AS candidate_id,
+            'doc_' || doc_id AS canonical_article, ceil(strlen(text) / 3.0)::BIGINT AS estimated_text_tokens FROM documents
+    """,
+    "lexical_manifest": """
+        WITH c AS (
+            SELECT doc_id, sha256('doc_' || doc_id || '_000' || chr(31) || sha256('["corpus-1","chunker-1","doc_' || doc_id || '","Introduction",null,null,null,' || to_json(text) || ']')) AS h FROM documents
+        )
+        SELECT 1 AS schema, 'corpus-1' AS corpus_version, 'chunker-1' AS chunker_version, count(*) AS chunks, count(DISTINCT doc_id) AS articles,
+            sha256(concat_ws(',', sum(('0x' || substr(h, 1, 8))::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 9, 8))::HUGEINT)::VARCHAR,
+                sum(('0x' || substr(h, 17, 8))::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 25, 8))::HUGEINT)::VARCHAR)) AS pool_sha256 FROM c
+    """,
+}
+_OWN_INDEX = "SELECT 'doc_' || doc_id || '_000' AS chunk_id, 'doc ' || doc_id AS title, 'Introduction' AS section, text AS body FROM documents"
+_INTENT_HITS = "CASE intent2 " + " ".join(
+    f"WHEN '{kind}' THEN " + " + ".join(f"contains(lower(section), '{x}')::INT" for x in parts) for kind, parts in rank.INTENT_TERMS.items()
+) + " ELSE 0 END"
+_OFF = " OR ".join(f"contains(lower(section), '{x}')" for x in rank.AFTERMATH)
+#: CTEs up to `retrieved`: passages through both branches, fusion and hybrid reranking; the passage's vector is that of the document with its id.
+_HYBRID = f"""{bm25(_PASSAGES.replace("text AS query", "trim(text) AS query"), _OWN_INDEX)}, {_PASSAGE_PLANS},
+        near AS (
+            SELECT q.vec_id AS query_id, 'doc_' || c.vec_id || '_000' AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) AS score
+            FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id IN (SELECT item_id FROM benchmark)
+        ),
+        both_branches AS (
+            SELECT query_id, chunk_id, score, 'dense' AS branch, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near) WHERE rank <= 40
+            UNION ALL SELECT query_id, chunk_id, score, 'bm25', rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank FROM scored) WHERE rank <= 40
+        ),
+        fused AS (
+            SELECT query_id, chunk_id, coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (branch = 'bm25'), 0) + coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (branch = 'dense'), 0) AS fused_score,
+                min(rank) AS best_rank, string_agg(branch, ',' ORDER BY branch) AS origins, max(score) FILTER (branch = 'dense') AS dense_score FROM both_branches GROUP BY query_id, chunk_id
+        ),
+        fused_ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, best_rank, chunk_id) AS fused_rank FROM fused),
+        fused_texts AS (
+            SELECT f.query_id, f.chunk_id, 'doc_' || d.doc_id AS article_path, 'Introduction' AS section, d.text, coalesce(dense_score, fused_score) AS score, fused_score, fused_rank, origins
+            FROM fused_ranks f JOIN documents d ON f.chunk_id = 'doc_' || d.doc_id || '_000' WHERE fused_rank <= 80
+        ), {features('fused_texts')},
+        with_intent AS (
+            SELECT *, CASE WHEN intent = 'comparison' AND regexp_matches(resolved, '(?i)caus') THEN 'cause' ELSE intent END AS intent2, fused_score / (2 / 61.0::DOUBLE) AS share,
+                {words('resolved')} AS rw, lower(replace(article_path, '_', ' ')) AS low_title FROM reranked
+        ),
+        fitted AS (
+            SELECT *, least(1.0, ({_INTENT_HITS}) / 2.0) + 0.3 * (len(list_intersect(rw, hw)) / greatest(1, len(hw)))
+                - CASE WHEN intent2 = 'cause' AND ({_OFF}) AND len(list_intersect(rw, {sql_list(rank.AFTERMATH_WORDS)})) = 0 THEN 1.0 ELSE 0.0 END AS affinity,
+                (regexp_matches(low_title, '\\b\\d{{3,4}}\\b') AND len(hints) = 0 AND len(list_filter(keys, lambda k: starts_with(low_title, k || ' '))) > 0)::INT AS stale
+            FROM with_intent
+        ),
+        final_scores AS (
+            SELECT *, round(rerank_score + 0.10::DOUBLE * share + 0.18::DOUBLE * greatest(-1.0, least(1.0, affinity)) - 0.25 * stale, 8) - CASE WHEN regexp_matches(section, '{rank.REFERENCE_LIKE}') THEN 0.65 ELSE 0.0 END AS final
+            FROM fitted
+        ),
+        retrieved AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS final_rank FROM final_scores)"""
+ORACLES |= {
+    "hybrid_retrieve": f"""
+        WITH {_HYBRID} SELECT query_id, chunk_id, final AS rerank_score, final_rank::INT AS rerank_rank, fused_rank::INT AS fused_rank, origins FROM retrieved
+    """,
+    "lexical_only_support": f"""
+        WITH {_HYBRID}, {_FACETS.replace("FROM hits h JOIN documents d ON d.doc_id = h.chunk_id", "FROM (SELECT query_id, final_rank AS rank, text FROM retrieved) h").replace("d.text", "h.text")}
+        SELECT query_id, final_rank::INT AS rank, chunk_id FROM retrieved WHERE origins = 'bm25' AND (query_id, final_rank) IN (SELECT (query_id, rank) FROM matched)
+    """,
+    "comparison_leaders": f"""
+        WITH {_SHORTLIST},
+        expanded AS (
+            SELECT l.query_id, l.chunk_id, l.article_path, l.section, l.text, s.article_rank, l.score + 0.18 * (0.3 * len(list_intersect(qw, hw)) / greatest(1, len(hw))) + 0.08 * s.article_score AS score
+            FROM lists l JOIN shortlist s USING (query_id, article_path) WHERE l.score >= 0.15
+        ),
+        in_section AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, article_path, section ORDER BY score DESC, chunk_id) AS k FROM expanded) WHERE k <= 3),
+        in_article AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, article_path ORDER BY score DESC, chunk_id) AS n FROM in_section) WHERE n <= 6),
+        counted AS (SELECT *, (SELECT count(DISTINCT article_path) FROM in_article b WHERE b.query_id = a.query_id) > 1 AND n = 1 AS leads FROM in_article a),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN leads THEN 0 ELSE 1 END, CASE WHEN leads THEN article_rank ELSE -score END, chunk_id) AS position FROM counted
+        ),
+        parts AS (SELECT query_id, chunk_id, article_path, position, unnest(string_split(text, chr(10) || chr(10))) AS paragraph, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS nth FROM placed),
+        keyed_parts AS (SELECT *, lower(trim(regexp_replace(paragraph, '\\s+', ' ', 'g'))) AS part_key FROM parts),
+        kept AS (SELECT DISTINCT query_id, chunk_id, article_path, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id, part_key ORDER BY position, nth) AS f FROM keyed_parts WHERE part_key != '') WHERE f = 1)
+        SELECT query_id, position::INT AS position, chunk_id, article_path
+        FROM (SELECT query_id, chunk_id, article_path, row_number() OVER (PARTITION BY query_id ORDER BY position) AS position FROM kept) WHERE position <= 10
+    """,
+    "phrase_titles": f"""
+        WITH titles AS (SELECT DISTINCT regexp_extract(text, '^(\\S+)', 1) AS path FROM documents WHERE regexp_extract(text, '^(\\S+)', 1) != ''),
+        keyed_titles AS (SELECT path, {title_key('path')} AS key FROM titles),
+        q AS ({_QUESTIONS}),
+        split AS (SELECT query_id, regexp_extract_all(regexp_replace(question, '[’'']s\\b', '', 'g'), '(?:{_W}|’)+') AS w FROM q),
+        runs AS (
+            SELECT query_id, size, start, w[start:start + size - 1] AS p FROM (SELECT query_id, w, size, unnest(range(1, len(w) - size + 2)) AS start FROM split, (SELECT unnest(range(1, 7)) AS size))
+        ),
+        phrases AS (
+            SELECT query_id, array_to_string(p, ' ') AS phrase, min((6 - size) * 1000000 + start) AS first_at FROM runs
+            WHERE NOT list_contains({sql_list(discovery.STOPWORDS)}, lower(p[1])) AND NOT list_contains({sql_list(discovery.STOPWORDS)}, lower(p[-1])) GROUP BY query_id, phrase
+        ),
+        numbered AS (SELECT *, {title_key('phrase')} AS key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_at) - 1 AS phrase_no FROM phrases) WHERE phrase_no < 48),
+        found AS (
+            SELECT * FROM (SELECT n.query_id, n.phrase_no, n.key, t.path, row_number() OVER (PARTITION BY n.query_id, n.key ORDER BY n.phrase_no, t.path) AS k
+                FROM numbered n JOIN keyed_titles t USING (key) WHERE key != '' AND NOT list_contains({sql_list(discovery.GENERIC_TITLES)}, key)) WHERE k = 1
+        ),
+        ranked_titles AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY phrase_no, key, path) AS r FROM found),
+        first_title AS (SELECT * FROM ranked_titles WHERE r = 1),
+        second_title AS (
+            SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY b.query_id ORDER BY b.r) AS again FROM ranked_titles b JOIN first_title a USING (query_id) WHERE b.r > 1 AND NOT contains(a.key, b.key)) WHERE again = 1
+        )
+        SELECT query_id, 0 AS position, path FROM first_title UNION ALL SELECT query_id, 1, path FROM second_title
+    """,
+    "link_scores": f"""
+        WITH links AS (
+            SELECT doc_id AS article_path, (doc_id + step)::VARCHAR AS href, array_to_string(string_split(text, ' ')[1:2], ' ') AS anchor, text AS context, step AS position FROM documents, (SELECT unnest([1, 2, 3]) AS step)
+        ),
+        asked AS (SELECT doc_id AS query_id, doc_id AS article_path, string_split(text, chr(10))[1] AS query FROM documents WHERE doc_id % 100 = 0),
+        lists AS (
+            SELECT query_id, href, position, list_filter(list_distinct({all_words('query')}), lambda x: NOT list_contains({sql_list(discovery.LINK_STOPS)}, x)) AS qw,
+                list_distinct({all_words('anchor')}) AS aw, list_distinct({all_words("anchor || ' ' || context")}) AS bw FROM links JOIN asked USING (article_path)
+        ),
+        scored AS (
+            SELECT query_id, href, position, 0.48 * (len(list_intersect(qw, bw)) / greatest(1, len(qw)))
+                + 0.27 * least(1.0, (len(list_intersect(qw, aw)) + len(list_intersect({sql_list(discovery.CUES)}, aw))) / 2)
+                + 0.15 * (len(list_intersect({sql_list(discovery.CUES)}, bw)) / {len(discovery.CUES)}.0::DOUBLE) + 0.10 * greatest(0.0, 1 - position / 180.0::DOUBLE) AS score FROM lists
+        )
+        SELECT query_id, href, round(score, 8) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position, href) AS rank FROM scored) WHERE rank <= 2
+    """,
+    "store_export": rf"""
+        WITH {_TURNS},
+        saved AS (
+            SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || '_Created ' || strftime(to_timestamp(1600000000 + conv_id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || ' UTC_' || chr(10) || chr(10)
+                || string_agg('## Question' || chr(10) || chr(10) || trim(question) || chr(10) || chr(10) || '## Answer' || chr(10) || chr(10) || trim(answer) || chr(10) || chr(10), '' ORDER BY turn_no, question) AS markdown
+            FROM turns GROUP BY conv_id
+        )
+        SELECT 'c' || conv_id AS id, md5(regexp_replace(markdown, '\s+$', '') || chr(10)) AS markdown_md5, length(regexp_replace(markdown, '\s+$', '') || chr(10))::INT AS chars FROM saved
+    """,
+}
 _EACH = """relevant AS (SELECT query_id, count(*) AS relevant FROM gold GROUP BY query_id),
         found AS (
             SELECT h.query_id, min(rank) AS first, count(*) FILTER (rank <= 1) AS f1, count(*) FILTER (rank <= 3) AS f3, count(*) FILTER (rank <= 5) AS f5
