@@ -379,16 +379,6 @@ def html_prose(spark: SparkSession, sf: str) -> DataFrame:
     return html.page_rows(read(spark, sf, "pages"), html.blocks("html", "prose"), "page_id")
 
 
-@query
-def html_links(spark: SparkSession, sf: str) -> DataFrame:
-    return html.page_rows(read(spark, sf, "pages"), html.links("html"), "page_id")
-
-
-@query
-def html_headings(spark: SparkSession, sf: str) -> DataFrame:
-    return html.page_rows(read(spark, sf, "pages"), html.headings("html"), "page_id")
-
-
 @query
 def html_clean(spark: SparkSession, sf: str) -> DataFrame:
     pages = read(spark, sf, "pages").withColumn("path", F.concat(F.lit("page_"), "page_id"))
@@ -740,6 +730,7 @@ def store_export(spark: SparkSession, sf: str) -> DataFrame:
     return store.export_markdown(store.migrate(_saved(spark, sf).drop("conv_id"))).select("id", F.md5("markdown").alias("markdown_md5"), F.length("markdown").alias("chars"))
 
 
-from gleaner import oracles  # noqa: E402
+from gleaner import catalog_fixtures, oracles  # noqa: E402
 
-ORACLES |= oracles.ORACLES
+QUERIES |= catalog_fixtures.QUERIES
+ORACLES |= oracles.ORACLES | catalog_fixtures.ORACLES

@@ -78,19 +78,25 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 40, block: int =
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: Scores that a worker holds at once (16 MB).
+BLOCK_CELLS = 1 << 21
+
+
 def _partial_topk(corpus: DataFrame, ids: pa.Array, matrix: np.ndarray, k: int) -> DataFrame:
     names = ["query_id", "chunk_id", "score"]
     query_kind = {pa.int32(): "int", pa.int64(): "bigint"}.get(ids.type, "string")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = np.round(matrix @ _matrix(batch.column(1)).T, 12)
-            # The k-th best score of each query; all ties with it are kept for the final order.
-            cut = np.partition(scores, -k, axis=1)[:, -k][:, None] if k < scores.shape[1] else np.full((len(scores), 1), -np.inf)
-            q, c = np.nonzero(scores >= cut)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names)
+        best = np.full((len(ids), k), -np.inf)  # of the partition so far
+        rows = max(1, BLOCK_CELLS // max(1, len(ids)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                scores = np.round(matrix @ _matrix(batch.column(1)).T, 12)
+                best = np.partition(np.concatenate([best, scores], axis=1), -k, axis=1)[:, -k:]
+                # What the k-th best leaves, all ties with it among them, goes on to the final order.
+                q, c = np.nonzero(scores >= best.min(axis=1)[:, None])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names)
 
     return corpus.mapInArrow(kernel, f"query_id {query_kind}, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, score double")
 
