@@ -11,6 +11,7 @@ on whole; lines without a word are neither judged nor counted as repeats.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,25 +23,23 @@ from gleaner.llm.common import map_arrow, text_slices
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
-#: Characters that may end a sentence, with closing quotes and brackets.
-TERMINAL = ".!?…:;\"'”’»)"
-#: Phrases of page furniture, in lower case.
-BOILERPLATE = (
-    "accept cookies",
-    "all rights reserved",
-    "click here",
-    "cookie policy",
-    "enable javascript",
-    "lorem ipsum",
-    "privacy policy",
-    "read more",
-    "sign in",
-    "skip to content",
-    "subscribe to our newsletter",
-    "terms of service",
-    "terms of use",
-)
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+#: Characters that may end a sentence, of several scripts, and any opening or closing quotation mark (either closes in some language).
+TERMINAL = ".!?…:;\"')։؟۔।॥።។။。！．？"
+QUOTES = ("Pi", "Pf")
+#: Phrases of page furniture in lower case, by language; they count in lines of at most FURNITURE_WORDS words, not in prose.
+BOILERPLATE = {
+    "en": (
+        "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy", "read more", "sign in", "skip to content",
+        "subscribe to our newsletter", "terms of service", "terms of use",
+    ),
+    "de": ("alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "jetzt anmelden", "newsletter abonnieren", "nutzungsbedingungen", "weiterlesen", "zum inhalt springen"),
+    "fr": ("accepter les cookies", "aller au contenu", "conditions d'utilisation", "lire la suite", "politique de confidentialité", "se connecter", "tous droits réservés"),
+    "es": ("aceptar cookies", "iniciar sesión", "leer más", "política de privacidad", "saltar al contenido", "términos de uso", "todos los derechos reservados"),
+    "it": ("accetta i cookie", "leggi tutto", "informativa sulla privacy", "tutti i diritti riservati"),
+    "pt": ("aceitar cookies", "leia mais", "política de privacidade", "todos os direitos reservados"),
+}
+FURNITURE_WORDS = 12
+_BOILERPLATE = re.compile("|".join(re.escape(x) for found in BOILERPLATE.values() for x in found))
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -66,7 +65,7 @@ def line_rule(line: str, n_words: int) -> int:
     bars = line.count("|") + line.count("»") + line.count(">")
     if bars >= MIN_SEPARATORS and bars * SEPARATED >= n_words:
         return 2
-    if _BOILERPLATE.search(line.lower()):
+    if n_words <= FURNITURE_WORDS and _BOILERPLATE.search(line.lower()):
         return 3
     symbols = sum(map(line.count, SYMBOLS))
     if symbols * WORDS_PER_SYMBOL > n_words:
@@ -74,7 +73,7 @@ def line_rule(line: str, n_words: int) -> int:
     if n_words >= SHOUTED_WORDS and line == line.upper() and line != line.lower():
         return 1
     end = line.rstrip(SPACES)[-1:]
-    if end not in TERMINAL and not (n_words >= LONG_LINE and ". " in line):
+    if end not in TERMINAL and unicodedata.category(end) not in QUOTES and not (n_words >= LONG_LINE and ". " in line):
         return 1
     return 0
 

@@ -74,7 +74,8 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-_TERMS = "|".join(quality.BOILERPLATE)
+_TERMS = "|".join(x.replace("'", "''") for found in quality.BOILERPLATE.values() for x in found)
+_ENDS = quality.TERMINAL.replace("'", "''").replace(")", "\\)") + "".join(rf"\p{{{x}}}" for x in quality.QUOTES)
 ORACLES: dict[str, str] = {
     "op1_quality_rules": rf"""
         WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -98,10 +99,10 @@ ORACLES: dict[str, str] = {
         judged AS (
             SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id, line ORDER BY nth) > 1 AS again,
                 (bars >= {quality.MIN_SEPARATORS} AND bars * {quality.SEPARATED} >= n)
-                OR regexp_matches(lower(line), '{_TERMS}')
+                OR (n <= {quality.FURNITURE_WORDS} AND regexp_matches(lower(line), '{_TERMS}'))
                 OR symbols * {quality.WORDS_PER_SYMBOL} > n
                 OR (n >= {quality.SHOUTED_WORDS} AND line = upper(line) AND line != lower(line))
-                OR (NOT regexp_matches(trimmed, '[.!?…:;"''”’»)]$') AND NOT (n >= {quality.LONG_LINE} AND contains(line, '. '))) AS fails
+                OR (NOT regexp_matches(trimmed, '[{_ENDS}]$') AND NOT (n >= {quality.LONG_LINE} AND contains(line, '. '))) AS fails
             FROM lines WHERE n > 0
         ),
         by_doc AS (

@@ -51,6 +51,8 @@ def test_quality_measures(texts):
     [
         ("This is a sentence.", 0), ("He asked: “why?”", 0), ("Home | News | Sport | Contact", 2), ("A » B » C", 2), ("Please enable JavaScript to go on.", 3), ("All rights reserved.", 3),
         ("a#b $c% d&", 1), ("THIS IS ALL SHOUTED!", 1), ("A heading without an end", 1), ("Two sentences here. But the second one was cut off in the mid", 0),
+        ("Er sagte: „Komm mit“", 0), ("यह एक वाक्य है।", 0), ("これは 文 です。", 0), ("Tous droits réservés.", 3), ("Datenschutzerklärung und Impressum", 3),
+        ("She had to sign in at the desk, and then she went on to read more of the letters that he had sent.", 0),
     ],
 )
 def test_line_rules(line, rule):
@@ -296,6 +298,41 @@ def test_scan_judges_every_place(spark):
     assert mine == {(text.index(key), text.rindex(key)): True, (11,): False}
 
 
+def places(text):
+    """Candidates and where they stand, by another engine of regular expressions."""
+    import regex
+
+    return [(m.start(), m[0]) for m in regex.finditer(secrets.CANDIDATE, text)]
+
+
+def test_candidates_equal_another_engine(spark, docs, odd):
+    """All candidates of all texts with their places and neighbours; null and repeated ids, ties and clashing columns with findings too."""
+    found = secrets.find_candidates(docs, "doc_id", "text", "source").collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    assert {(r["id"], r["start"], r["candidate"]) for r in found} == {(i, at, x) for i, t in texts.items() for at, x in places(t)} and found
+    for r in found:
+        at, text = r["start"], texts[r["id"]]
+        assert r["before"] == text[max(0, at - secrets.BEFORE) : at]
+        assert r["after"] == text[at + len(r["candidate"]) :][: secrets.AFTER]
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    given = odd.withColumn("text", F.when(F.col("doc_id").isNull() | (F.col("doc_id") == 5), F.lit(f'é🙂 token = "{key}" and\ntoken = "{key}"')).otherwise(F.col("text")))
+    model = secrets.train_forest(secrets.labelled_findings(spark))
+    rows = secrets.scan(given, model).collect()
+    assert sorted(r["doc_id"] or 0 for r in rows) == [0, 5, 5] and all(r["is_secret"] and r["starts"] == [12, 12 + 41 + 4 + 10] for r in rows)
+
+
+def test_secrets_in_documents(spark):
+    """The secrets that stand in the documents, told by a rule that knows nothing of the forest: all are found, and nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit('token = "([0-9a-f]{40})"'), F.lit(1))).alias("key")).distinct()
+    found = secrets.scan(docs, secrets.train_forest(secrets.labelled_findings(spark))).filter("is_secret")
+    shas = [F.sha2(F.col("key").cast("binary"), 256), F.sha2(F.upper("key").cast("binary"), 256)]
+    planted = planted.withColumn("shas", F.array(*shas))
+    hit = planted.join(found.select("doc_id", "sha256"), "doc_id").filter(F.array_contains("shas", F.col("sha256"))).select("doc_id", "key").distinct().count()
+    assert planted.count() > 10 and hit / planted.count() >= 0.9
+    assert hit / found.count() >= 0.9
+
+
 FORMS = [
     ('password = "{}"', "hunter2!x9"), ('secret: "{}"', "P@ssw0rd2024!"), ('password: "{}"', "Tr0ub4dor&3-horse"), ("see postgres://bob:{}@host/db", "s3cr3tPw"),
     ("api_key = {}", "kGzQpLwXvRtYbNmHsDfJ"), ("{}", "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/Ab12\n-----END RSA PRIVATE KEY-----"), ("{}", "-----BEGIN PRIVATE KEY-----"),
