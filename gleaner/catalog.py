@@ -110,11 +110,21 @@ def passage_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a benchmark passage word for word: candidates share the passage's first 60 characters as a line's begin or not at all."""
-    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    """Documents that hold a benchmark passage word for word: those with its rarest inner token, then the passage itself.
+
+    Inner tokens of a passage are tokens of every text that holds it; passages of fewer than three tokens are looked for as they are.
+    """
+    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", t.index_tokens("text").alias("tokens"))
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
-    # The passages are few and of fixed number, so they go to every partition of the documents.
-    return docs.join(bounded(items), F.contains("body", "text")).select("query_id", "chunk_id")
+    index = stored(spark, sf)
+    inner = items.filter(F.size("tokens") >= 3).select("query_id", F.explode(F.array_distinct(F.slice("tokens", F.lit(2), F.size("tokens") - 2))).alias("token"))
+    inner = inner.withColumn("bucket", lexical.bucket("token"))
+    holding = index.join(inner.select("token", "bucket").distinct(), ["token", "bucket"], "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("holding"))
+    rarest = inner.join(holding, "token").groupBy("query_id").agg(F.min_by(F.struct("token", "bucket"), F.struct("holding", "token")).alias("r")).select("query_id", "r.*")
+    pairs = index.join(rarest, ["token", "bucket"]).select("query_id", "chunk_id").join(items.select("query_id", "text"), "query_id")
+    found = docs.join(pairs, "chunk_id").filter(F.contains("body", "text")).select("query_id", "chunk_id")
+    short = items.filter(F.size("tokens") < 3).select("query_id", "text")
+    return found.unionByName(docs.join(bounded(short), F.contains("body", "text")).select("query_id", "chunk_id"))
 
 
 # --- retrieval ----------------------------------------------------------------------------------

@@ -604,6 +604,7 @@ _HYBRID = f"""{bm25(_PASSAGES.replace("text AS query", "trim(text) AS query"), _
         ),
         retrieved AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS final_rank FROM final_scores)"""
 ORACLES |= {
+    "html_tables": "SELECT -1::BIGINT AS page_id, 0 AS table_no, 'Key: ' || r_regionkey || '; Name: ' || r_name AS row_text FROM region",
     "hybrid_retrieve": f"""
         WITH {_HYBRID} SELECT query_id, chunk_id, final AS rerank_score, final_rank::INT AS rerank_rank, fused_rank::INT AS fused_rank, origins FROM retrieved
     """,
