@@ -59,7 +59,8 @@ def with_plan(candidates: DataFrame, plans: DataFrame) -> DataFrame:
 
 def with_features(candidates: DataFrame, plans: DataFrame) -> DataFrame:
     """Adds the struct `features` to candidates; the plan's columns stay."""
-    rows = with_plan(candidates, plans)
+    # Ranks need the rows of a question together: dealt out first, so that features are made after the shuffle and not carried through it.
+    rows = with_plan(candidates, plans).repartition("query_id")
     if "reasons" not in rows.columns:
         rows = rows.withColumn("reasons", F.array().cast("array<string>"))
     title = F.translate("article_path", "_", " ")
@@ -73,9 +74,12 @@ def with_features(candidates: DataFrame, plans: DataFrame) -> DataFrame:
         }
     )
     rows = rows.withColumns({"_titles": t.words("_title"), "_heads": t.words("_heading")})
-    everything = F.array_union(F.array_union("_body", "_titles"), "_heads")
-    entity = lambda e: F.when(F.contains(F.col("_hay"), t.haystack(e["display_name"])), F.lit(1.0)).otherwise(0.35 * t.overlap(t.words(e["display_name"]), everything))
-    entity_score = F.when(F.size("entities") > 0, F.array_max(F.transform("entities", entity))).otherwise(0.5)
+    # Columns of their own: inside a function over entities they would be made again for each of them.
+    rows = rows.withColumn("_everything", F.array_union(F.array_union("_body", "_titles"), "_heads"))
+    everything = F.col("_everything")
+    rows = rows.withColumn("_names", F.transform("entities", lambda e: F.struct(t.haystack(e["display_name"]).alias("hay"), t.words(e["display_name"]).alias("words"))))
+    entity = lambda e: F.when(F.contains(F.col("_hay"), e["hay"]), F.lit(1.0)).otherwise(0.35 * t.overlap(e["words"], everything))
+    entity_score = F.when(F.size("entities") > 0, F.array_max(F.transform("_names", entity))).otherwise(0.5)
     low_value = F.coalesce(F.trim("section").rlike(LOW_VALUE), F.lit(False)) | F.col("_title").rlike(r"(?i)\(disambiguation\)$")
     has = lambda array, word: F.array_contains(F.col(array), word)
     conflict = has("_query", "republic") & has("_titles", "empire") & ~has("_titles", "republic")
