@@ -43,7 +43,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents")).withColumn("removed", spans)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +122,43 @@ ORACLES: dict[str, str] = {
             AND 100 * lost_words <= {quality.MAX_LOST_PERCENT} * n_words AS kept
         FROM measured
     """,
+    "op3_minhash": rf"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        each_word AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words),
+        windows AS (
+            SELECT doc_id, n, pos, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle FROM each_word WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+        ),
+        sets AS (SELECT DISTINCT doc_id, md5(shingle) AS shingle FROM windows WHERE pos <= greatest(1, n - {minhash.SHINGLE - 1})),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= {minhash.PERCENT} * (x.n + y.n - c.n)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+        roots AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT r.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, component_id, r.doc_id = component_id AS kept FROM roots r LEFT JOIN sizes s USING (doc_id)
+    """,
+    "op6_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents
+        ),
+        worded AS (
+            SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+        ),
+        chunks AS (
+            SELECT w.doc_id, w.pos, w.upto + 1 AS stop, string_agg(l.line, chr(10) ORDER BY l.pos) AS chunk FROM worded w JOIN lines l ON l.doc_id = w.doc_id AND l.pos BETWEEN w.pos AND w.upto
+            WHERE w.upto IS NOT NULL GROUP BY w.doc_id, w.pos, w.upto
+        ),
+        marked AS (SELECT doc_id, pos, stop, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS gone FROM chunks),
+        spans AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed_chunks, string_agg(pos || '-' || stop, ',' ORDER BY pos) FILTER (gone) AS removed FROM marked GROUP BY doc_id),
+        dropped AS (SELECT DISTINCT l.doc_id, l.pos FROM lines l JOIN marked m ON m.doc_id = l.doc_id AND m.gone AND l.pos >= m.pos AND l.pos < m.stop),
+        kept AS (
+            SELECT l.doc_id, count(*) AS n_lines, count(d.pos) AS removed_lines, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (d.pos IS NULL), '') AS clean_text
+            FROM lines l LEFT JOIN dropped d ON d.doc_id = l.doc_id AND d.pos = l.pos GROUP BY l.doc_id
+        )
+        SELECT k.doc_id, n_lines, coalesce(n, 0) AS n_chunks, coalesce(removed_chunks, 0) AS removed_chunks, removed_lines, coalesce(removed, '') AS removed, clean_text FROM kept k LEFT JOIN spans USING (doc_id)
+    """,
     "op9_exact_dedup": """
         WITH hashed AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
