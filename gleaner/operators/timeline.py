@@ -37,7 +37,8 @@ def extract_events(hits: DataFrame, max_events: int = 24, bounds: bool = False)
     rows = rows.withColumn("_all", sentences(F.col("_paragraph"))).withColumn(
         "_dates", F.transform("_all", lambda s: normalize_date(F.when(F.startswith(s, F.lit("Date:")), F.substring_index(s, ";", 1)).otherwise(s)))
     )
-    rows = rows.withColumn("_plain_dates", F.transform("_all", normalize_date))
+    # Only whether the next sentence has a date is asked for, so the first one's does not matter.
+    rows = rows.withColumn("_plain_dates", F.transform("_all", lambda s, i: F.when(i > 0, normalize_date(s))))
     entries = F.transform(
         "_all",
         lambda s, i: F.struct(
