@@ -16,6 +16,7 @@ from gleaner.operators import dense, expand, metrics, reader, timeline
 from gleaner.plans import interpret, pools
 from gleaner.sources import archive, html, lineage, store
 from gleaner.sources.archive import read_table as read
+from gleaner.streaming import conversation
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -227,6 +228,26 @@ def discovery_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return pools.with_fallback(primary, single).select("query_id", "article_path", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query("""
+    WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS no FROM nation),
+    answered AS (SELECT n_regionkey::BIGINT AS conv_id, (no * 10 + 1)::BIGINT AS turn, 'Tell me about ' || n_name AS question, least(4, CASE WHEN no < 3 THEN no ELSE no - 2 END)::INT AS turns, 'Tell me about ' || n_name AS focus FROM n)
+    SELECT conv_id, turn, question, 'lookup' AS effective_type, turns, focus FROM answered
+    UNION ALL SELECT conv_id, turn + 4, '/debug', 'lookup', turns, focus FROM answered WHERE turn = 41
+""")
+def stream_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as a stream: the memory after each answer, cleared by `/new` before the third nation and shown by `/debug` after the fourth."""
+    order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    rows = read(spark, sf, "nation").select(F.col("n_regionkey").cast("bigint").alias("conv_id"), "n_name", F.row_number().over(order).cast("bigint").alias("no"))
+    said = lambda turn, role, *text: rows.select("conv_id", (F.col("no") * 10 + turn).alias("turn"), F.lit(role).alias("role"), F.concat(*text).alias("text"))
+    messages = said(0, "user", F.lit("Tell me about "), "n_name").unionByName(said(1, "assistant", "n_name", F.lit(" began in 1618 [S1].")))
+    messages = messages.unionByName(said(5, "user", F.lit("/new")).filter("turn = 25")).unionByName(said(5, "user", F.lit("/debug")).filter("turn = 45"))
+    path = lineage.write(messages)
+    out = f"{path}-memory"
+    stream = conversation.memory(spark.readStream.schema(messages.schema).parquet(path))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("conv_id", "turn", "question", "effective_type", "turns", "focus")
+
+
 # --- dates and periods -------------------------------------------------------------------------------------
 
 

@@ -24,7 +24,7 @@ _LISTS = ("entities", "periods", "events", "articles", "ambiguous_topics")
 def memory(messages: DataFrame, max_turns: int = 4, max_chars: int = 1800) -> DataFrame:
     """(conv_id, turn, role, text), in the order of turn, to a row for each answered question, with the memory after it.
 
-    `/new` clears the memory.  The state holds at most max_turns turns and a question that waits for its
+    `/new` clears the memory, `/debug` gives a row with the memory as it is.  The state holds at most max_turns turns and a question that waits for its
     answer, whatever the length of the conversation.  Messages that come again (turn not above the last) are skipped.
     """
 
@@ -45,6 +45,8 @@ def memory(messages: DataFrame, max_turns: int = 4, max_chars: int = 1800) -> Da
             if role == "user" and text.strip() == "/new":
                 state.clear()
                 waiting = None
+            elif role == "user" and text.strip() == "/debug":
+                out.append((key[0], last, "/debug", "", state.effective_type, False, "", state.focus, state.periods, len(state.turns), state.context()))
             elif role == "user" and not text.startswith("/"):
                 waiting = text
             elif role == "assistant" and waiting is not None:

@@ -131,3 +131,14 @@ def test_retrieve_with_and_without_vectors(spark):
     assert [r["chunk_id"] for r in legacy] == ["Olive_000"]
     row = pipeline.evaluate(plans.select("query_id"), q, corpus(spark), v, spark.createDataFrame([(1, "Olive_000")], "query_id int, chunk_id string")).first()
     assert row["hit_rate_1"] == 1
+
+
+def test_benchmark_of_models(spark):
+    from gleaner.__main__ import benchmark, generator
+    from gleaner.config import Config
+    from gleaner.plans.generate import Extractive
+
+    assert generator("Extractive") == generator("gleaner.plans.generate:Extractive") == Extractive()
+    questions = spark.createDataFrame([(1, "What was the Peace of Westphalia?")], "query_id int, question string")
+    rows = benchmark(spark, questions, corpus(spark), [Extractive("one", 1), Extractive("two", 2)], Config()).collect()
+    assert {r["model"] for r in rows} == {"one", "two"} and all(r["runs"] == 1 and r["tokens_per_second"] > 0 for r in rows)
