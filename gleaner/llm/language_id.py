@@ -89,8 +89,8 @@ SMOOTHING = 0.5
 CHANCE = -float(np.log(BUCKETS))
 #: Words whose scores are kept per worker.
 KEPT_WORDS = 150_000
-#: Bytes of text that are labelled at once.
-LABELLED_BYTES = 1 << 20
+#: Bytes of text and rows that are labelled at once: a step of the paths serves all texts of a slice.
+LABELLED_BYTES, LABELLED_ROWS = 2 << 20, 1024
 #: Cells (words times texts) of one padded Viterbi block.
 BLOCK = 1 << 18
 
@@ -261,7 +261,7 @@ def train(
         number = {x: k for k, x in enumerate(languages)}
         counts = np.zeros((len(languages), BUCKETS + len(SCRIPTS)), np.int64)
         for whole in batches:
-            for batch in text_slices(whole, 0, LABELLED_BYTES):
+            for batch in text_slices(whole, 0, LABELLED_BYTES, LABELLED_ROWS):
                 for text, lang in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                     words = [x for x in map(letters, text.decode().split()) if x]
                     if words:
@@ -294,7 +294,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, 1, LABELLED_BYTES):
+            for batch in text_slices(whole, 1, LABELLED_BYTES, LABELLED_ROWS):
                 found = model.predict(as_bytes(batch.column(1)))
                 columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
@@ -316,7 +316,7 @@ def keep_identified(docs: DataFrame, model: Model, least_fit: float = CHANCE, te
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, text, LABELLED_BYTES):
+            for batch in text_slices(whole, text, LABELLED_BYTES, LABELLED_ROWS):
                 found = model.predict(as_bytes(batch.column(text)))
                 yield batch.filter(pa.array([lang != UNDETERMINED and fit >= least_fit for lang, _, _, fit in found], pa.bool_()))
 
