@@ -56,9 +56,25 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The folders that `materialize` wrote and nobody released yet.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, result: DataFrame | None = None) -> None:
+    """Delete what `materialize` wrote, but for the files of a materialized result: to be called when all else is done with."""
+    files = result.inputFiles() if result is not None else []
+    keep = [p for p in _WRITTEN if any(p.rpartition("/")[2] in f for f in files)]
+    for path in _WRITTEN:
+        if path not in keep:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _WRITTEN[:] = keep
+
+
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if df, already materialized, has few rows; otherwise df as it is, for a shuffled join."""
     n = df.count() if rows is None else rows

@@ -160,3 +160,17 @@ def test_pipeline_odd(spark, odd, empty):
     for _, stage in corpus_pipeline.STAGES:
         kept = stage(spark, kept, None)
     assert kept.count() == 0
+
+
+def test_release(spark):
+    """What was written goes, what the result reads stays."""
+    from gleaner.llm import common
+
+    common.release(spark)
+    gone, stays = (common.materialize(spark.range(n)) for n in (3, 4))
+    common.release(spark, stays)
+    assert stays.count() == 4 and len(common._WRITTEN) == 1
+    common.release(spark)
+    assert not common._WRITTEN
+    with pytest.raises(Exception, match="(?i)not exist|no such file"):
+        gone.collect()
