@@ -1,6 +1,9 @@
 """A corpus from documents to packed sequences, in five stages.
 
 Each stage works on all rows that the one before kept, and is written and read again before the next.
+
+Cases: null and empty texts and texts without letters go with the first stage; repeated rows, ties, null ids and
+extra columns of any name pass as each operator states; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,12 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import exact_dedup, language_id, minhash, mixing, packing
-from gleaner.llm.common import materialize, read
+from gleaner.llm.common import materialize, read, release
 from gleaner.llm.queries import tokenizer
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language cannot be told: no letters, or no language that holds half of them."""
+    """Documents go whose language cannot be told: no letters, or no learned language explains them better than chance."""
     return language_id.keep_identified(docs, language_id.train(docs.filter(~language_id.held_out())))
 
 
@@ -56,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
+        release(spark, docs)  # what the stage wrote on its way
     return docs
