@@ -64,15 +64,21 @@ def materialize(df: DataFrame) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession, result: DataFrame | None = None) -> None:
-    """Delete what `materialize` wrote, but for the files of a materialized result: to be called when all else is done with."""
+def written() -> int:
+    """How many folders `materialize` has written so far, for `release`."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, result: DataFrame | None = None, since: int = 0) -> None:
+    """Delete what `materialize` wrote since then, but for the files of a materialized result: to be called when all else is done with."""
     files = result.inputFiles() if result is not None else []
-    keep = [p for p in _WRITTEN if any(p.rpartition("/")[2] in f for f in files)]
-    for path in _WRITTEN:
+    own = _WRITTEN[since:]
+    keep = [p for p in own if any(p.rpartition("/")[2] in f for f in files)]
+    for path in own:
         if path not in keep:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    _WRITTEN[:] = keep
+    _WRITTEN[since:] = keep
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -166,11 +166,12 @@ def test_release(spark):
     """What was written goes, what the result reads stays."""
     from gleaner.llm import common
 
-    common.release(spark)
+    earlier = common.materialize(spark.range(2))
+    begin = common.written()
     gone, stays = (common.materialize(spark.range(n)) for n in (3, 4))
-    common.release(spark, stays)
-    assert stays.count() == 4 and len(common._WRITTEN) == 1
-    common.release(spark)
-    assert not common._WRITTEN
+    common.release(spark, stays, begin)
+    assert stays.count() == 4 and earlier.count() == 2 and common.written() == begin + 1
+    common.release(spark, since=begin)
+    assert common.written() == begin and earlier.count() == 2
     with pytest.raises(Exception, match="(?i)not exist|no such file"):
         gone.collect()
