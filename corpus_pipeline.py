@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import exact_dedup, language_id, minhash, mixing, packing
-from gleaner.llm.common import materialize, read, release
+from gleaner.llm.common import materialize, read, release, written
 from gleaner.llm.queries import tokenizer
 
 
@@ -56,8 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents."""
-    docs = read(spark, sf_dir, "documents")
+    docs, begin = read(spark, sf_dir, "documents"), written()
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
-        release(spark, docs)  # what the stage wrote on its way
+        release(spark, docs, begin)  # what the stage wrote on its way
     return docs
