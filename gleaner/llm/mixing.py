@@ -28,9 +28,9 @@ WEIGHTS = (5, 2, 1)
 PERCENT, MOST = 150, 2
 #: Newton steps, how many of them one job takes, and the relative error at which they end.
 STEPS, STEPS_A_JOB, TOLERANCE = 60, 3, 1e-9
-#: Cells of the order of extra copies: sums by cell find the one where a source meets its target, and sums by as many
-#: parts of that cell the part; only what lies in that part, one in CELLS * CELLS or so, is put in order.
-CELLS = 4096
+#: Cells of the order of extra copies: sums by cell find the one where a source meets its target, and so on within that
+#: cell, LEVELS times; only what lies in the last one, one in CELLS ** LEVELS or so, is put in order.
+CELLS, LEVELS = 256, 3
 
 
 def word_count(text: str) -> Column:
@@ -154,25 +154,23 @@ def mix_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     rated = rated.withColumn("rate", r).withColumn("copies", F.floor("rate")).withColumn("fraction", F.col("rate") - F.col("copies"))
     place = F.when(F.col("fraction") > 0, F.col("u") / F.col("fraction"))
     order = F.col("place") / (1 + F.col("place"))
-    rated = rated.withColumn("place", place).withColumn("cell", F.floor(order * CELLS)).withColumn("fine", F.floor(order * CELLS * CELLS) - F.col("cell") * CELLS)
-
-    # By source and cell: what the whole copies take, and where the extra copies meet the rest of the target.
-    cells = rated.groupBy("source", "cell").agg(
-        F.sum(F.col("copies") * F.col("size")).alias("whole"), F.sum("size").alias("extra"), F.first("target").alias("target")
-    )
-    rest = F.round("target").cast("bigint") - F.sum("whole").over(Window.partitionBy("source"))
-    edge = meeting(cells.withColumn("rest", rest).filter("cell is not null"))
-    marked = rated.join(small(edge, many), rated["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    parts = marked.filter("cell = edge").groupBy("source", F.col("fine").alias("cell")).agg(F.sum("size").alias("extra"), F.first("room").alias("rest"))
-    finer = meeting(parts).select(F.col("s"), F.col("edge").alias("fine_edge"), F.col("room").alias("fine_room"))
-    marked = marked.join(small(finer, many), marked["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    fits = F.col("edge").isNull() | (F.col("cell") < F.col("edge")) | ((F.col("cell") == F.col("edge")) & (F.col("fine") < F.col("fine_edge")))
-    fits = F.col("cell").isNotNull() & fits
-    at_edge = F.coalesce((F.col("cell") == F.col("edge")) & (F.col("fine") == F.col("fine_edge")), F.lit(False))
-    sure = marked.filter(~at_edge).withColumn("part", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("bigint")))
+    marked = rated.withColumn("place", place).withColumn("inside", F.col("place").isNotNull()).withColumn("fits", F.lit(False))
+
+    # What the whole copies leave of each target, and the cell in which the extra copies meet it; then within that cell.
+    rest = F.round(F.first("target")).cast("bigint") - F.sum(F.col("copies") * F.col("size"))
+    room = materialize(rated.groupBy(F.col("source").alias("s")).agg(rest.alias("room")))
+    for level in range(1, LEVELS + 1):
+        marked = marked.withColumn("cell", F.floor(order * CELLS**level) - CELLS * F.floor(order * CELLS ** (level - 1)))
+        sums = marked.filter("inside").groupBy("source", "cell").agg(F.sum("size").alias("extra"))
+        room = meeting(sums.join(small(room, many), sums["source"].eqNullSafe(F.col("s"))).select("source", "cell", "extra", F.col("room").alias("rest")))
+        marked = marked.join(small(room.drop("room"), many), marked["source"].eqNullSafe(F.col("s")), "left").drop("s")
+        fits = F.col("fits") | (F.col("inside") & (F.col("edge").isNull() | (F.col("cell") < F.col("edge"))))
+        inside = F.col("inside") & F.coalesce(F.col("cell") == F.col("edge"), F.lit(False))
+        marked = marked.withColumns({"fits": fits, "inside": inside}).drop("cell", "edge")
+    sure = marked.filter("not inside").withColumn("part", F.when(F.col("fits"), F.col("size")).otherwise(F.lit(0).cast("bigint")))
     in_edge = Window.partitionBy("source").orderBy("place", "h", "id").rowsBetween(Window.unboundedPreceding, 0)
-    close = marked.filter(at_edge).withColumn("sum", F.sum("size").over(in_edge))
-    close = close.withColumn("part", F.greatest(F.lit(0).cast("bigint"), F.least("size", F.col("fine_room") - (F.col("sum") - F.col("size"))))).drop("sum")
+    close = marked.filter("inside").join(small(room, many), marked["source"].eqNullSafe(F.col("s"))).withColumn("sum", F.sum("size").over(in_edge))
+    close = close.withColumn("part", F.greatest(F.lit(0).cast("bigint"), F.least("size", F.col("room") - (F.col("sum") - F.col("size"))))).drop("sum", "s", "room", "edge")
     both = sure.unionByName(close)
     full = F.col("part") == F.col("size")
     return both.withColumn("copies", F.col("copies") + F.when(full & (F.col("size") > 0), 1).otherwise(0)).withColumn(
