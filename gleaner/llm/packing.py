@@ -30,7 +30,7 @@ OPEN_WINDOWS = 32
 #: A piece is cut to top up a window only if both parts keep so many ids.
 LEAST_CUT = 16
 #: Partitions, or groups of them, whose leftovers meet in one task: at most GROUP * OPEN_WINDOWS * WINDOW ids.
-GROUP = 32
+GROUP = 4
 #: Fixed value of the vocabulary: how a token that ends a word is written.
 WORD_END = "</w>"
 #: New words that are encoded in one call.
