@@ -118,8 +118,11 @@ def infer_period(plans: DataFrame, chunks: DataFrame, window: int = 30) -> DataF
         "article_path", "chunk_id", t.all_words(F.translate("article_path", "_", " ")).alias("title"),
         F.struct(F.regexp_extract(lead, PERIOD, 1).cast("int").alias("low"), F.regexp_extract(lead, PERIOD, 2).cast("int").alias("high")).alias("span"),
     )
-    # Titles meet questions by one of their words, not all by all; then the whole title is checked.
-    keyed = stated.withColumn("word", F.get("title", 0))
+    # Titles meet questions by the word that the fewest titles have, so a common word brings nobody together; then the whole title is checked.
+    each = stated.select("article_path", "chunk_id", F.explode(F.array_distinct("title")).alias("word"))
+    rare = each.join(each.groupBy("word").agg(F.count(F.lit(1)).alias("titles")), "word")
+    rare = rare.groupBy("article_path", "chunk_id").agg(F.min_by("word", F.struct("titles", "word")).alias("word"))
+    keyed = stated.join(rare, ["article_path", "chunk_id"])
     asks = plans.select("query_id", F.array_distinct(t.all_words("resolved_question")).alias("asked"))
     asks = asks.withColumn("word", F.explode("asked"))
     matched = asks.join(keyed, "word").filter(F.size(F.array_except("title", "asked")) == 0)

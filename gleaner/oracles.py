@@ -604,6 +604,19 @@ _HYBRID = f"""{bm25(_PASSAGES.replace("text AS query", "trim(text) AS query"), _
         ),
         retrieved AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS final_rank FROM final_scores)"""
 ORACLES |= {
+    "discovery_merge": f"""
+        WITH {_HITS}, {_PASSAGE_PLANS},
+        found AS (
+            SELECT h.query_id, CASE WHEN h.rank <= 10 THEN 0 ELSE 1 END AS stage, h.rank, 'doc_' || h.chunk_id AS article_path, p.broad, p.article_limit, least(2, len(p.names)) AS entity_places,
+                CASE WHEN p.broad AND p.article_limit >= 6 THEN least(3, greatest(0, p.article_limit - least(2, len(p.names)) - 1)) ELSE 0 END AS related_places FROM hits h JOIN plan p USING (query_id)
+        ),
+        ranked_found AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id, stage ORDER BY rank, article_path) AS k, greatest(1, article_limit - entity_places - related_places) AS seed_places,
+                count(*) FILTER (stage = 0) OVER (PARTITION BY query_id) AS seeds FROM found WHERE stage = 0 OR broad
+        ),
+        kept AS (SELECT * FROM ranked_found WHERE CASE WHEN stage = 0 THEN k <= seed_places ELSE least(seeds, seed_places) + k <= article_limit - entity_places END)
+        SELECT query_id, article_path, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank, article_path)::INT AS position, CASE WHEN stage = 0 THEN 'question search' ELSE 'related' END AS reasons FROM kept
+    """,
     "html_tables": "SELECT -1::BIGINT AS page_id, 0 AS table_no, 'Key: ' || r_regionkey || '; Name: ' || r_name AS row_text FROM region",
     "hybrid_retrieve": f"""
         WITH {_HYBRID} SELECT query_id, chunk_id, final AS rerank_score, final_rank::INT AS rerank_rank, fused_rank::INT AS fused_rank, origins FROM retrieved
