@@ -603,6 +603,18 @@ _HYBRID = f"""{bm25(_PASSAGES.replace("text AS query", "trim(text) AS query"), _
             FROM fitted
         ),
         retrieved AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS final_rank FROM final_scores)"""
+#: CTEs up to `chunks` (doc_id, chunk_no, chunk): lines joined up to 2000 characters, with whole lines of up to 300 carried over, a line a step.
+_CHUNKS = r"""paragraphs AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) != '') AS p FROM documents),
+        walk AS (
+            SELECT doc_id, p, 1 AS i, 0 AS chunk_no, []::VARCHAR[] AS now, NULL::VARCHAR AS chunk FROM paragraphs
+            UNION ALL
+            SELECT doc_id, p, i + 1, chunk_no + full_now::INT,
+                CASE WHEN i > len(p) THEN [] WHEN full_now THEN list_append(now[len(now) - greatest(1, len(list_filter(range(1, len(now) + 1), lambda j: list_sum(list_transform(now[len(now) - j + 1:], lambda x: length(x))) <= 300))) + 1:], p[i])
+                    ELSE list_append(now, p[i]) END,
+                CASE WHEN full_now THEN trim(array_to_string(now, chr(10) || chr(10))) END
+            FROM (SELECT *, len(now) > 0 AND (i > len(p) OR length(array_to_string(list_append(now, p[i]), chr(10) || chr(10))) > 2000) AS full_now FROM walk) WHERE i <= len(p) + 1
+        ),
+        chunks AS (SELECT doc_id, chunk_no - 1 AS chunk_no, chunk FROM walk WHERE chunk IS NOT NULL)"""
 ORACLES |= {
     "discovery_merge": f"""
         WITH {_HITS}, {_PASSAGE_PLANS},
@@ -617,6 +629,18 @@ ORACLES |= {
         kept AS (SELECT * FROM ranked_found WHERE CASE WHEN stage = 0 THEN k <= seed_places ELSE least(seeds, seed_places) + k <= article_limit - entity_places END)
         SELECT query_id, article_path, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank, article_path)::INT AS position, CASE WHEN stage = 0 THEN 'question search' ELSE 'related' END AS reasons FROM kept
     """,
+    "chunk_documents": f"""
+        WITH RECURSIVE {_CHUNKS}
+        SELECT 'doc_' || doc_id AS article_path, chunk_no::INT AS chunk_no, 'doc_' || doc_id || '_' || lpad(chunk_no::VARCHAR, 3, '0') AS chunk_id, 'Introduction' AS section, length(chunk)::INT AS chars, md5(chunk) AS text_md5 FROM chunks
+    """,
+    "pool_cap": f"""
+        WITH RECURSIVE {_HITS}, {_CHUNKS},
+        pooled AS (
+            SELECT h.query_id, 'doc_' || c.doc_id AS article_path, h.rank AS article_position, c.chunk_no, 'doc_' || c.doc_id || '_' || lpad(c.chunk_no::VARCHAR, 3, '0') AS chunk_id,
+                row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank, c.chunk_no) AS n FROM hits h JOIN chunks c ON c.doc_id = h.chunk_id
+        )
+        SELECT query_id, article_path, article_position::INT AS article_position, chunk_no::INT AS chunk_no, chunk_id FROM pooled WHERE n <= 480
+    """,
     "html_tables": "SELECT -1::BIGINT AS page_id, 0 AS table_no, 'Key: ' || r_regionkey || '; Name: ' || r_name AS row_text FROM region",
     "hybrid_retrieve": f"""
         WITH {_HYBRID} SELECT query_id, chunk_id, final AS rerank_score, final_rank::INT AS rerank_rank, fused_rank::INT AS fused_rank, origins FROM retrieved
