@@ -164,10 +164,10 @@ class Model:
                 order = np.argsort(whose, kind="stable")
                 begins = np.searchsorted(whose[order], np.arange(len(chosen)))
                 scores[with_letters] = np.add.reduceat(self.logp[buckets[order]], begins, axis=0)
-                for k, w in zip(with_letters, chosen, strict=True):
-                    may = self.allowed.get(script_of(w))
-                    if may is not None and not may.all():
-                        scores[k, ~may] = -1e4
+                barred = {script: ~may for script, may in self.allowed.items() if not may.all()}
+                for k, w in zip(with_letters, chosen, strict=True) if barred else ():
+                    if (no := barred.get(script_of(w))) is not None:
+                        scores[k, no] = -1e4
             self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
             self.scores = np.concatenate([self.scores, scores])
             self.letters = np.concatenate([self.letters, np.fromiter(map(len, own), np.int32, len(own))])
