@@ -14,10 +14,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, groupby, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -256,29 +255,28 @@ def merge_leftovers(left: DataFrame, window: int, level: int) -> DataFrame:
     Windows are joined from the fullest on; what exceeds a window is cut off and goes on into the next.
     """
 
-    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["sequence_id", "offset"], kind="stable")
-        windows = [list(g.itertuples()) for _, g in frame.groupby("sequence_id", sort=True)]
-        windows.sort(key=lambda w: -sum(r.length for r in w))
+    def kernel(key: tuple, table: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        rows = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist()
+        windows = [list(g) for _, g in groupby(rows, key=lambda r: r["sequence_id"])]
+        windows.sort(key=lambda w: -sum(r["length"] for r in w))
         now, filled, out, sequence = [], 0, [], 0
-        name = level << 56 | int(key[0]) << 30
+        name = level << 56 | part << 30
         for r in (r for w in windows for r in w):
-            start, ids = int(r.start), np.asarray(r.ids, np.int64)
+            start, ids = r["start"], np.array(r["ids"], np.int64)
             while len(ids):
                 head = ids[: window - filled]
-                now.append((r.id, start, head, int(r.doc_tokens)))
+                now.append((r["id"], start, head, r["doc_tokens"]))
                 start, ids, filled = start + len(head), ids[len(head) :], filled + len(head)
                 if filled == window:
-                    out += [(*row, key[0], None) for row in window_rows(now, name | sequence)]
+                    out += [(*row, part, None) for row in window_rows(now, name | sequence)]
                     now, filled, sequence = [], 0, sequence + 1
         for (_, _, own, _), row in zip(now, window_rows(now, name | sequence), strict=True):
-            out.append((*row, key[0], own.tolist()))
-        made = pd.DataFrame(out, columns=frame.columns)
-        made["id"] = made["id"].astype(frame["id"].dtype)
-        return made
+            out.append((*row, part, own.tolist()))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), table.schema, strict=True)], table.schema.names)
 
     grouped = left.withColumn("part", F.floor(F.col("part") / GROUP))
-    return grouped.groupBy("part").applyInPandas(kernel, left.schema)
+    return grouped.groupBy("part").applyInArrow(kernel, left.schema)
 
 
 def pack(
