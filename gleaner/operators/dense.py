@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.best import Best
+
 #: Query vectors that one pass over the corpus compares with; more are taken in further passes.
 QUERY_BLOCK = 4096
 
@@ -87,16 +89,14 @@ def _partial_topk(corpus: DataFrame, ids: pa.Array, matrix: np.ndarray, k: int)
     query_kind = {pa.int32(): "int", pa.int64(): "bigint"}.get(ids.type, "string")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full((len(ids), k), -np.inf)  # of the partition so far
-        rows = max(1, BLOCK_CELLS // max(1, len(ids)))
+        best, rows = None, max(1, BLOCK_CELLS // max(1, len(ids)))
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                scores = np.round(matrix @ _matrix(batch.column(1)).T, 12)
-                best = np.partition(np.concatenate([best, scores], axis=1), -k, axis=1)[:, -k:]
-                # What the k-th best leaves, all ties with it among them, goes on to the final order.
-                q, c = np.nonzero(scores >= best.min(axis=1)[:, None])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names)
+                best = best or Best(len(ids), k, batch.column(0).type)
+                best.add(-np.round(matrix @ _matrix(batch.column(1)).T, 12), batch.column(0))
+        if best:
+            yield best.rows(names, ids, -1.0)
 
     return corpus.mapInArrow(kernel, f"query_id {query_kind}, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, score double")
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 
 from gleaner import catalog
 from gleaner.operators import lexical
+from gleaner.operators.best import Best
 from gleaner.sources import archive
 
 
@@ -81,3 +85,18 @@ def test_pools_read_each_document_once(spark, sf, monkeypatch):
         monkeypatch.setattr(lexical, name, lambda rows, *more, of=of: (seen.append(rows.count()), of(rows, *more))[1], raising=False)
     assert catalog.bm25_pool(spark, sf).count()
     assert sum(seen) <= spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_best_keeps_ties_in_order():
+    kept = Best(2, 3, pa.string())
+    for ids in (["d", "b", "f"], ["a", "c"], ["e", "g"]):
+        kept.add(np.array([[1.0] * len(ids), [np.inf] * len(ids)]), pa.array(ids))
+        assert len(kept.query) <= 3
+    kept.add(np.array([[0.5, 1.0], [2.0, np.inf]]), pa.array(["z", "0"]))
+    assert kept.rows(["q", "id", "s"], pa.array([7, 8])).to_pylist() == [{"q": 7, "id": x, "s": s} for x, s in (("z", 0.5), ("0", 1.0), ("a", 1.0))] + [{"q": 8, "id": "z", "s": 2.0}]
+
+
+def test_fusion_does_not_pair_queries_and_documents(spark, sf, monkeypatch):
+    monkeypatch.setattr(catalog, "EVERY", 2)
+    rows = most_rows(catalog.rrf_hybrid(spark, sf))
+    assert rows < 40_000  # terms by documents that hold them
