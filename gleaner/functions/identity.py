@@ -20,19 +20,35 @@ def candidate_id(df: DataFrame, corpus_version: str, chunker_version: str) -> Co
     return F.sha2(F.to_json(F.array(*parts, F.col("text")), {"ignoreNullFields": "false"}), 256)
 
 
-def adapt_hits(hits: DataFrame, corpus_version: str, chunker_version: str) -> DataFrame:
-    """Hits as candidates with empty provenance; blank paths, ids or texts are an error."""
+def adapt_hits(hits: DataFrame, corpus_version: str, chunker_version: str, blank: str = "error") -> DataFrame:
+    """Hits as candidates with empty provenance; blank paths, ids or texts are an error.
+
+    blank `keep`, for whole tables: their rows stay; what is null has no candidate_id, and a null text no estimate.
+    """
     if not corpus_version or not chunker_version:
         raise ValueError("corpus and chunker versions are required")
+    if blank not in ("error", "keep"):
+        raise ValueError(f"no such policy: {blank}")
+    required = ("article_path", "chunk_id", "text")
+    if blank == "keep":
+        whole = F.lit(True)
+        for name in required:
+            whole = whole & F.col(name).isNotNull()
+        adapted = _adapted(hits, corpus_version, chunker_version)
+        return adapted.withColumns({"candidate_id": F.when(whole, F.col("candidate_id")), "estimated_text_tokens": F.when(F.col("text").isNotNull(), F.col("estimated_text_tokens"))})
     checked = hits
-    for name in ("article_path", "chunk_id", "text"):
-        blank = F.col(name).isNull() | (F.trim(F.col(name)) == "")
-        checked = checked.withColumn(name, F.when(blank, F.raise_error(F.lit(f"evidence requires {name}"))).otherwise(F.col(name)))
+    for name in required:
+        empty = F.col(name).isNull() | (F.trim(F.col(name)) == "")
+        checked = checked.withColumn(name, F.when(empty, F.raise_error(F.lit(f"evidence requires {name}"))).otherwise(F.col(name)))
+    return _adapted(checked, corpus_version, chunker_version)
+
+
+def _adapted(hits: DataFrame, corpus_version: str, chunker_version: str) -> DataFrame:
     article = F.coalesce("canonical_article_id", "article_path") if "canonical_article_id" in hits.columns else F.col("article_path")
     branch = "map<string,struct<score:double,rank:int,direction:string>>"
-    return checked.withColumns(
+    return hits.withColumns(
         {
-            "candidate_id": candidate_id(checked, corpus_version, chunker_version),
+            "candidate_id": candidate_id(hits, corpus_version, chunker_version),
             "canonical_article": article,
             "corpus_version": F.lit(corpus_version),
             "chunker_version": F.lit(chunker_version),

@@ -100,3 +100,14 @@ def test_fusion_does_not_pair_queries_and_documents(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog, "EVERY", 2)
     rows = most_rows(catalog.rrf_hybrid(spark, sf))
     assert rows < 40_000  # terms by documents that hold them
+
+
+def test_identity_of_blank_texts(spark, tmp_path):
+    texts = ["war", None, "", " ", "".join(map(chr, range(1, 40))), "\x7f \u2028 \\ / é 😀"]
+    rows = [(i, x) for i, x in enumerate(texts)] + [(None, "lost")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.candidate_identity(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.execute(f"SELECT {', '.join(found.columns)} FROM ({catalog.ORACLES['candidate_identity']})").fetchall()
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
