@@ -102,6 +102,10 @@ def test_fusion_does_not_pair_queries_and_documents(spark, sf, monkeypatch):
     assert rows < 40_000  # terms by documents that hold them
 
 
+def test_backfill_searches_once(spark, sf):
+    assert "MapInArrow" not in catalog.dense_backfill(spark, sf)._jdf.queryExecution().toString()
+
+
 def test_identity_of_blank_texts(spark, tmp_path):
     texts = ["war", None, "", " ", "".join(map(chr, range(1, 40))), "\x7f \u2028 \\ / é 😀"]
     rows = [(i, x) for i, x in enumerate(texts)] + [(None, "lost")]
